@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from . import common as C
 
 MODEL = os.environ.get("SILTMARK_TOKENIZERS", "/opt/tokenizers") + "/piece_bpe_32k.model"
-DICTIONARY, LONGEST, CACHE = 1 << 17, 60, 1 << 18
+DICTIONARY, LONGEST, CACHE = 1 << 15, 60, 1 << 18
 BLANK = "▁"
 UNIT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
