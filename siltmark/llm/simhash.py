@@ -80,16 +80,19 @@ def links(nodes: DataFrame, cell_size: int = CELL) -> DataFrame:
     sizes = cells.groupBy("third", "cell").agg(F.count("*").alias("n")).where("n > 1")
     crowded = sizes.where(F.col("n") > cell_size).select("third", "cell")
     few = cells.join(sizes.where(F.col("n") <= cell_size).select("third", "cell"), ["third", "cell"], "left_semi")
-    met = few.groupBy("third", "cell").agg(F.sort_array(F.collect_list("fp")).alias("f"))
-    first = met.select("f", F.posexplode("f").alias("i", "a"))
-    second = first.select("a", F.explode(F.slice("f", F.col("i") + 2, cell_size)).alias("b"))
-    close = second.where((manhattan(embed(F.col("a")), embed(F.col("b"))) <= DISTANCE) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE))
+    met = few.groupBy("third", "cell").agg(F.sort_array(F.collect_list(F.struct("fp", embed(F.col("fp")).alias("at")))).alias("f"))
+    first = met.select("f", F.posexplode("f").alias("i", "x"))
+    # compared within the cell's list, so that only links become rows
+    close = first.select(
+        F.col("x.fp").alias("a"),
+        F.explode(F.filter(F.slice("f", F.col("i") + 2, cell_size), lambda y: (manhattan(F.col("x.at"), y["at"]) <= DISTANCE) & (F.bit_count(F.col("x.fp").bitwiseXOR(y["fp"])) <= DISTANCE))).alias("y"),
+    ).select("a", F.col("y.fp").alias("b"))
     many = cells.join(crowded, ["third", "cell"], "left_semi").select("fp").distinct()
     flips = F.array(F.lit(0).cast("long"), *[F.lit((1 << i) - (1 << 64 if i == 63 else 0)) for i in range(64)])
     at = many.select("fp", F.explode(F.transform(flips, lambda m: F.col("fp").bitwiseXOR(m))).alias("mid"))
     shared = at.groupBy("mid").agg(F.sort_array(F.collect_list("fp")).alias("f")).where("size(f) > 1")
     stars = shared.select(F.col("f")[0].alias("a"), F.explode(F.slice("f", F.lit(2), F.size("f") - 1)).alias("b"))
-    return close.select("a", "b").union(stars).distinct()
+    return close.union(stars).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
