@@ -28,6 +28,17 @@ def field(name: str, kind: T.DataType) -> T.StructField:
 LONG, STRING, BOOL, DOUBLE, INT = T.LongType(), T.StringType(), T.BooleanType(), T.DoubleType(), T.IntegerType()
 
 
+#: Rows and bytes that a Python worker turns into objects at once.
+SLICE_ROWS, SLICE_BYTES = 1024, 8 << 20
+
+
+def slices(batch: pa.RecordBatch):
+    """Pieces of a batch of at most SLICE_ROWS rows, shorter if rows are long: nothing of the size of a whole batch is built."""
+    rows = max(1, min(SLICE_ROWS, SLICE_BYTES * batch.num_rows // max(1, batch.nbytes)))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def map_texts(df: DataFrame, carry: Sequence[Column], text: Column, fields: Sequence[T.StructField], factory: Callable[[], Callable]) -> DataFrame:
     """Adds fields made from whole texts, batch by batch and without a shuffle.
 
@@ -41,8 +52,8 @@ def map_texts(df: DataFrame, carry: Sequence[Column], text: Column, fields: Sequ
 
     def run(batches):
         work = factory()
-        for b in batches:
-            if b.num_rows:
+        for whole in batches:
+            for b in slices(whole):
                 made = work(b.column(b.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), *(pa.array(v, t) for v, t in zip(made, types, strict=True))], names=names)
 

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from . import common as C
 
 MODEL = os.environ.get("SILTMARK_TOKENIZERS", "/opt/tokenizers") + "/piece_bpe_32k.model"
-DICTIONARY, LONGEST, CACHE = 1 << 15, 60, 1 << 18
+DICTIONARY, LONGEST, CACHE, COUNTED = 1 << 15, 60, 1 << 17, 1 << 17
 BLANK = "▁"
 UNIT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
@@ -131,17 +131,22 @@ def units(text: str) -> list[str]:
 
 
 def count_units(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """unit and n over all texts; each batch counts its own before the shuffle."""
+    """unit and n over all texts; each task counts up to COUNTED units or a slice more before it sends them on."""
     import pyarrow as pa
 
+    def batch(seen):
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["unit", "n"])
+
     def run(batches):
-        for b in batches:
-            seen: dict[str, int] = {}
+        seen: dict[str, int] = {}
+        for b in (x for whole in batches for x in C.slices(whole)):
             for t in b.column(0).to_pylist():
                 for u in units(t or ""):
                     seen[u] = seen.get(u, 0) + 1
-            short = [u for u in seen if len(u) <= LONGEST]
-            yield pa.RecordBatch.from_arrays([pa.array(short, pa.string()), pa.array([seen[u] for u in short], pa.int64())], names=["unit", "n"])
+            if len(seen) >= COUNTED:
+                yield batch({u: n for u, n in seen.items() if len(u) <= LONGEST})
+                seen = {}
+        yield batch({u: n for u, n in seen.items() if len(u) <= LONGEST})
 
     return docs.select(C.col(text_col).cast("string")).mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
@@ -262,7 +267,7 @@ def decode(pieces: DataFrame, vocabulary: Vocabulary, carry, ids_col: str = "ids
 
     def run(batches):
         get = shared.value.get
-        for b in batches:
+        for b in (x for whole in batches for x in C.slices(whole)):
             made = []
             for ids in b.column(b.num_columns - 1).to_pylist():
                 t = b"".join([get(i, b"") for i in ids or ()]).decode("utf-8", "replace")
