@@ -5,8 +5,8 @@ The model, trained here in numpy from labelled spans that a seeded generator pla
 of WIDTH characters, STRIDE apart, over the whole text. A window without a digit or @ can't hold such a span and is
 not run. Each window is decoded by Viterbi; spans that touch a window's edge inside the text are left to the next
 window, which holds them whole. Then all spans of a text are reconciled at once: best score first, without overlap.
-An added span must fit its kind's count of digits and may not meet a base match, kept or dropped: what the rules have
-judged stays as judged.
+An added span must fit its kind's count of digits (a card its check digit, an address its four numbers up to 255) and may not meet a kept
+base match, nor repeat a match that the rule of its own kind has dropped. Within a dropped stretch the model may cut anew.
 
 Defined cases: a null or empty text has no spans; spans of different kinds may overlap (base rules); repeated rows are
 returned each; a null id is passed through; an empty table gives no rows; only id and text are read. Offsets are code
@@ -42,8 +42,8 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def rules(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
-    """Base spans as (start, kind, end), and the stretches that a rule matched and then dropped."""
+def rules(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Base spans as (start, kind, end), and likewise the stretches that a rule matched and then dropped."""
     kept, dropped = [], []
     last, at = 0, text.find("@")
     while at >= 0:
@@ -57,14 +57,14 @@ def rules(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]
     for m in IP.finditer(text):
         # long runs of digits are over 255 unless they are zeros and a small number
         good = all(len(p := x.lstrip("0")) <= 3 and int(p or "0") <= 255 for x in m[0].split("."))
-        kept.append((m.start(), 1, m.end())) if good else dropped.append(m.span())
+        kept.append((m.start(), 1, m.end())) if good else dropped.append((m.start(), 1, m.end()))
     for m in CARD.finditer(text):
         d = m[0].replace(" ", "").replace("-", "")
-        kept.append((m.start(), 2, m.end())) if 12 <= len(d) <= 19 and luhn(d) else dropped.append(m.span())
+        kept.append((m.start(), 2, m.end())) if 12 <= len(d) <= 19 and luhn(d) else dropped.append((m.start(), 2, m.end()))
     if "+" in text:
         for m in PHONE.finditer(text):
             n = sum("0" <= c <= "9" for c in m[0])
-            kept.append((m.start(), 3, m.end())) if 9 <= n <= 15 else dropped.append(m.span())
+            kept.append((m.start(), 3, m.end())) if 9 <= n <= 15 else dropped.append((m.start(), 3, m.end()))
     return sorted(kept), dropped
 
 
@@ -263,16 +263,20 @@ def guesses(texts: list[str], p: dict) -> list[list[tuple[float, int, int, int]]
     return found
 
 
+def valid(address: str) -> bool:
+    return all(p.isascii() and p.isdigit() and int(p) <= 255 for p in (x.strip() for x in address.split(".")))
+
+
 def reconcile(text: str, base, dropped, candidates) -> list[tuple[int, int, int]]:
-    """Base spans and the best candidates that meet neither a base match nor each other; by start, then kind."""
-    taken = [(s, e) for s, _, e in base] + list(dropped)
-    out = list(base)
+    """Base spans and the best candidates that meet neither a base span nor each other; by start, then kind."""
+    taken = [(s, e) for s, _, e in base]
+    out, judged = list(base), set(dropped)
     for score, s, k, e in sorted(set(candidates), key=lambda c: (-c[0], c[1], c[2], c[3])):
         part = text[s:e]
         n = sum("0" <= c <= "9" for c in part)
         low, high = DIGITS[k]
-        fits = low <= n <= high and (k != 0 or "@" in part and "." in part.partition("@")[2]) and (k != 1 or part.count(".") == 3)
-        if score >= MARGIN and fits and part == part.strip() and all(e <= a or b <= s for a, b in taken):
+        fits = low <= n <= high and (k != 0 or "@" in part and "." in part.partition("@")[2]) and (k != 1 or part.count(".") == 3 and valid(part)) and (k != 2 or luhn("".join(c for c in part if "0" <= c <= "9")))
+        if score >= MARGIN and fits and (s, k, e) not in judged and part == part.strip() and all(e <= a or b <= s for a, b in taken):
             out.append((s, k, e))
             taken.append((s, e))
     return sorted(out)

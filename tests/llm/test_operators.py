@@ -207,3 +207,9 @@ def test_pipeline(spark):
     import corpus_pipeline
 
     assert [n for n, _ in corpus_pipeline.STAGES] and corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 50
+
+
+def test_pii_model_cuts_dropped_stretches_anew():
+    texts = ["call me at +1 (826) 555-4081 190.137.223.204 when home", "cards are 4012888888881881 4111111111111111 for the order", "the order number is 1234567812345678 of today"]
+    got = [[(pii.KINDS[k], t[s:e]) for s, k, e in pii.reconcile(t, *pii.rules(t), more)] for t, more in zip(texts, pii.guesses(texts, pii.model()))]
+    assert got == [[("phone", "+1 (826) 555-4081"), ("ip", "190.137.223.204")], [("card", "4012888888881881"), ("card", "4111111111111111")], []]
