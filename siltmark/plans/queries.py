@@ -90,6 +90,16 @@ query(
     "overlap_closure",
     f"with recursive {SPANS}, c as (select * from s where run = (select min(run) from s) union select s.* from s join c on s.lo <= c.hi and s.hi >= c.lo) select run, lo, hi from c",
 )(lambda s, d: runs.closure(spans(s, d), spans(s, d).agg(F.min("run").alias("run"))))
+# The same operators over whole tables: the SQL above fixes subsets of users and keys.
+
+
+def all_spans(spark, d):
+    return M.table(spark, d, "events").groupBy(F.col("user_id").alias("run")).agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"))
+
+
+# Every user's range over all events; no SQL, as the pairs and the recursion of whole tables are too many for it.
+query("overlap_pairs_all", None)(lambda s, d: runs.overlap_pairs(all_spans(s, d)))
+query("overlap_closure_all", None)(lambda s, d: runs.closure(all_spans(s, d), all_spans(s, d).agg(F.min("run").alias("run"))))
 UPPER = f"with {EV}, {RUNS}, {LEVELS}, w as (select key, op, value, seq from (select *, row_number() over (partition by key order by level, run desc) rn from v WHERE) where rn = 1) select * from w"
 query("compact_keep_tombstones", UPPER.replace("WHERE", "where level < 2"))(lambda s, d: compaction.merge(levelled(s, d).where("level < 2"), False))
 query("compact_drop_tombstones", UPPER.replace("WHERE", "") + " where op <> 'DEL'")(lambda s, d: compaction.merge(levelled(s, d), True))
