@@ -91,12 +91,23 @@ query(
     f"with recursive {SPANS}, c as (select * from s where run = (select min(run) from s) union select s.* from s join c on s.lo <= c.hi and s.hi >= c.lo) select run, lo, hi from c",
 )(lambda s, d: runs.closure(spans(s, d), spans(s, d).agg(F.min("run").alias("run"))))
 # The same operators over whole tables: the SQL above fixes subsets of users and keys.
+ALL = "k as (select 'c' || c_custkey as key from customer)"
 
 
 def all_spans(spark, d):
     return M.table(spark, d, "events").groupBy(F.col("user_id").alias("run")).agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"))
 
 
+def customers(spark, d):
+    return M.table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("key"))
+
+
+query("mget_left_join_all", f"with {OD}, {LAST}, {ALL} select k.key, x.value, x.seq from k left join ({LIVE}) x on x.key = k.key")(lambda s, d: state.mget(orders(s, d), customers(s, d)))
+query("exists_semi_all", f"with {OD}, {LAST}, {ALL} select key from k where key in (select key from l where op = 'SET')")(lambda s, d: state.exists(orders(s, d), customers(s, d)))
+query("absent_anti_all", f"with {OD}, {LAST}, {ALL} select key from k where key not in (select key from l where op = 'SET')")(lambda s, d: state.absent(orders(s, d), customers(s, d)))
+query("first_hit_by_level_all", f"with {EV}, {RUNS}, {LEVELS} select key, level, run, op, value from (select *, row_number() over (partition by key order by level, run desc) rn from v) where rn = 1")(
+    lambda s, d: runs.first_hit(levelled(s, d), events(s, d))
+)
 # Every user's range over all events; no SQL, as the pairs and the recursion of whole tables are too many for it.
 query("overlap_pairs_all", None)(lambda s, d: runs.overlap_pairs(all_spans(s, d)))
 query("overlap_closure_all", None)(lambda s, d: runs.closure(all_spans(s, d), all_spans(s, d).agg(F.min("run").alias("run"))))

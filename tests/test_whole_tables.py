@@ -12,3 +12,12 @@ def test_overlaps_of_all_users(spark, tmp_path):
         reached |= {x for p in pairs if reached & set(p) for x in p}
     assert {tuple(r) for r in QUERIES["overlap_pairs_all"](spark, str(tmp_path)).collect()} == pairs and (1, 40) in pairs
     assert {r["run"] for r in QUERIES["overlap_closure_all"](spark, str(tmp_path)).collect()} == reached and len(reached) > 2
+
+
+def test_all_keys_are_looked_up(spark):
+    d = "/root/testdata/sf0.01"
+    customers = spark.read.parquet(f"{d}/customer.parquet").count()
+    users = spark.read.parquet(f"{d}/events.parquet").select("user_id").distinct().count()
+    assert QUERIES["mget_left_join_all"](spark, d).count() == customers
+    assert QUERIES["exists_semi_all"](spark, d).count() + QUERIES["absent_anti_all"](spark, d).count() == customers
+    assert QUERIES["first_hit_by_level_all"](spark, d).count() == users
