@@ -3,15 +3,16 @@
 A page is cut into blocks, lines of text in page order. Elements that are never main text (navigation, headers, footers,
 asides, forms, scripts, and elements whose class, id or role says advert, menu, comments or the like) are left out. If the
 page has an article or main element, its blocks are the text, and nothing is compared: lines that articles share
-are text and must stay. Other pages are paired with the neighbour in the order of their URL path within the host, their
-lines aligned by longest common subsequence, and the shared lines deleted as the site's frame; a page whose every
-line is shared is a copy of its neighbour and keeps them.
+are text and must stay. Of the other pages, those of a host with the same lines are one, placed where the first of them lies in
+the order of URL paths. Each is paired with the different page before it in the host (the first with the one after), their lines aligned
+by longest common subsequence, and the shared lines deleted as the site's frame; if all lines are shared, they stay.
 
 The order is a range partitioning by host and path, so that a host with a third of all pages spreads over many
-tasks; the first page of a task is compared with the one after it. Pages with an article never take part in it.
+tasks; each task's first and last page are handed to its neighbours, so results don't depend on the tasks. Pages with an article
+never take part in it.
 
 Defined cases: null or empty html gives an empty text; a null URL is an empty host and path; repeated pages are returned each
-(and keep their lines, as copies); ties of path go by URL and id; an empty table gives no rows.
+(with the same text; a host whose pages are all equal keeps its lines); ties of path go by URL and id; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -165,36 +166,58 @@ def _cut():
     return work
 
 
-def _differ(batches):
-    """Batches in the order of host and path: each page against the one before it, the first of a task or host the one after."""
-    before = None  # (host, lines) of the page before
-    waiting = None  # a page that still needs its neighbour: row and host
-
-    def made(row, other):
-        lines = without_shared(row["__lines"], other)
-        return {"page_id": row["page_id"], "url": row["url"], "text": "\n".join(lines)}
-
-    def emit(rows):
-        return pa.RecordBatch.from_arrays([pa.array([r["page_id"] for r in rows], ids), pa.array([r["url"] for r in rows], pa.string()), pa.array([r["text"] for r in rows], pa.string())], names=["page_id", "url", "text"])
-
-    ids = pa.int64()
+def _edges(batches):
+    """The first and the last page of a task."""
+    first = last = None
     for b in batches:
-        ids = b.schema.field("page_id").type
-        out = []
-        for row in b.to_pylist():
-            host, lines = row["__host"], row["__lines"]
-            if waiting is not None:
-                out.append(made(waiting, lines if waiting["__host"] == host else None))
-                waiting = None
-            if before is not None and before[0] == host:
-                out.append(made(row, before[1]))
-            else:
-                waiting = row
-            before = (host, lines)
-        if out:
-            yield emit(out)
-    if waiting is not None:
-        yield emit([made(waiting, None)])
+        if b.num_rows:
+            first = b.slice(0, 1) if first is None else first
+            last = b.slice(b.num_rows - 1, 1)
+    if first is not None:
+        yield from (first, last)
+
+
+def edges_of(ordered: DataFrame) -> dict[int, tuple[tuple | None, tuple | None]]:
+    """For each task the page before its first and the page after its last, as (host, lines): two pages a task at most reach the driver."""
+    ends: dict[int, list[tuple]] = {}
+    for r in ordered.select("__part", "__host", "__lines").mapInArrow(_edges, ordered.select("__part", "__host", "__lines").schema).collect():
+        ends.setdefault(r["__part"], []).append((r["__host"], list(r["__lines"])))
+    parts = sorted(ends)
+    return {p: (ends[parts[k - 1]][1] if k else None, ends[parts[k + 1]][0] if k + 1 < len(parts) else None) for k, p in enumerate(parts)}
+
+
+def _differ(edges):
+    """Batches in the order of host and path: each page against the one before it, the first of a host against the one after."""
+
+    def run(batches):
+        before = after = waiting = None  # pages as (host, lines); waiting: the row that still needs the page after it
+        started = False
+
+        def made(rows):
+            texts = ["\n".join(without_shared(r["__lines"], other)) for r, other in rows]
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r, _ in rows], pa.string()) for c in ("__host", "__key")] + [pa.array(texts, pa.string())], names=["host", "key", "text"])
+
+        for whole in batches:
+            for b in C.slices(whole):
+                out = []
+                for row in b.to_pylist():
+                    if not started:
+                        (before, after), started = edges.value[row["__part"]], True
+                    host, lines = row["__host"], row["__lines"]
+                    if waiting is not None:
+                        out.append((waiting, lines if waiting["__host"] == host else None))
+                        waiting = None
+                    if before is not None and before[0] == host:
+                        out.append((row, before[1]))
+                    else:
+                        waiting = row
+                    before = (host, lines)
+                if out:
+                    yield made(out)
+        if waiting is not None:
+            yield made([(waiting, after[1] if after is not None and after[0] == waiting["__host"] else None)])
+
+    return run
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -204,12 +227,16 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     whole = seen.where("__whole or size(__lines) = 0").select("page_id", "url", F.array_join("__lines", "\n").alias("text"))
     url = F.coalesce("url", F.lit(""))
     rest = seen.where("not __whole and size(__lines) > 0").select(
-        "page_id", "url", "__lines", F.lower(F.regexp_extract(url, HOST, 1)).alias("__host"), F.regexp_extract(F.regexp_replace(url, HOST, ""), "^[^?#]*", 0).alias("__path")
-    )
-    ordered = rest.repartitionByRange("__host", "__path", url, "page_id").sortWithinPartitions("__host", "__path", url, "page_id")
-    fields = [C.field("page_id", pages.schema[id_col].dataType), C.field("url", C.STRING), C.field("text", C.STRING)]
-    compared = ordered.mapInArrow(_differ, T.StructType(fields))
-    both = whole.union(compared)
+        "page_id", "url", "__lines", F.lower(F.regexp_extract(url, HOST, 1)).alias("__host"), F.regexp_extract(F.regexp_replace(url, HOST, ""), "^[^?#]*", 0).alias("__path"),
+        C.sha256(F.array_join("__lines", "\n")).alias("__key"),
+    )
+    unlike = rest.groupBy("__host", "__key").agg(F.min(F.struct("__path", url.alias("url"), "page_id")).alias("__at"), F.first("__lines").alias("__lines"))
+    order = ["__host", "__at.__path", "__at.url", "__at.page_id", "__key"]
+    ordered = unlike.repartitionByRange(*order).sortWithinPartitions(*order).select("__host", "__key", "__lines", F.spark_partition_id().alias("__part")).checkpoint()
+    edges = pages.sparkSession.sparkContext.broadcast(edges_of(ordered))
+    compared = ordered.mapInArrow(_differ(edges), "host string, key string, text string")
+    each = rest.select("page_id", "url", "__host", "__key").join(compared, (F.col("__host") == F.col("host")) & (F.col("__key") == F.col("key"))).select("page_id", "url", "text")
+    both = whole.union(each)
     return both.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
 
 

@@ -213,3 +213,20 @@ def test_pii_model_cuts_dropped_stretches_anew():
     texts = ["call me at +1 (826) 555-4081 190.137.223.204 when home", "cards are 4012888888881881 4111111111111111 for the order", "the order number is 1234567812345678 of today"]
     got = [[(pii.KINDS[k], t[s:e]) for s, k, e in pii.reconcile(t, *pii.rules(t), more)] for t, more in zip(texts, pii.guesses(texts, pii.model()))]
     assert got == [[("phone", "+1 (826) 555-4081"), ("ip", "190.137.223.204")], [("card", "4012888888881881"), ("card", "4111111111111111")], []]
+
+
+def test_html_differencing_is_exact(spark):
+    page = lambda host, x: f"<div>Menu of {host}</div><div>Text {x}</div><div>End of {host}</div>"
+    rows = [(i, f"http://h.example/{i:03}", page("h", i)) for i in range(40)]
+    rows += [(100 + i, f"http://k.example/{i:03}", page("k", "copied" if i < 30 else "other")) for i in range(31)]
+    rows += [(200, "http://one.example/", page("one", "only"))]
+    want = {i: f"Text {i}" for i in range(40)} | {100 + i: "Text copied" if i < 30 else "Text other" for i in range(31)} | {200: "Menu of one\nText only\nEnd of one"}
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for n in (1, 3, 60):  # 60: nearly every page in a task of its own
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            assert {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == want
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
