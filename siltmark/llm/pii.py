@@ -2,9 +2,9 @@
 
 Base rules find e-mail addresses, IPv4 addresses, card numbers (Luhn) and phone numbers in whole texts, each in one linear pass.
 The model, trained here in numpy from labelled spans that a seeded generator plants in filler, reads overlapping windows
-of WIDTH characters, STRIDE apart, over the whole text. A window without a digit or @ can't hold such a span and is
-not run. Each window is decoded by Viterbi; spans that touch a window's edge inside the text are left to the next
-window, which holds them whole. Then all spans of a text are reconciled at once: best score first, without overlap.
+of WIDTH characters, STRIDE apart, over the whole text. A window without a digit or @, nor next to one that has any, can't hold such a
+span and is not run. Each window is decoded by Viterbi; where two overlap, each gives the tags of the half of the overlap nearer to its middle. So a
+span may run on over any number of windows; a span cut where its neighbour window isn't run is dropped. Then all spans of a text are reconciled at once: best score first, without overlap.
 An added span must fit its kind's count of digits (a card its check digit, an address its four numbers up to 255) and may not meet a kept
 base match, nor repeat a match that the rule of its own kind has dropped. Within a dropped stretch the model may cut anew.
 
@@ -219,12 +219,13 @@ def decode(x: np.ndarray, p: dict) -> tuple[np.ndarray, np.ndarray]:
 
 
 def windows(text: str) -> tuple[list[int], np.ndarray]:
-    """Starts and classes (batch, WIDTH) of the windows with a digit or @; together all windows cover the text."""
+    """Starts and classes (batch, WIDTH) of the windows with a digit or @ and of those next to them; together all windows cover the text."""
     c = classes(text)
     n = max(0, -(-(len(c) - WIDTH) // STRIDE)) + 1
     c = np.pad(c, (0, (n - 1) * STRIDE + WIDTH - len(c)))
     all_ = np.lib.stride_tricks.sliding_window_view(c, WIDTH)[::STRIDE]
     has = ((all_ == 1) | (all_ == 4)).any(1)
+    has = has | np.append(has[1:], False) | np.append(False, has[:-1])
     return (np.flatnonzero(has) * STRIDE).tolist(), all_[has]
 
 
@@ -244,25 +245,46 @@ def guesses(texts: list[str], p: dict) -> list[list[tuple[float, int, int, int]]
     if not starts:
         return found
     every = np.concatenate(rows)
-    for at in range(0, len(every), 1024):
-        tags, gain = decode(np.ascontiguousarray(every[at : at + 1024].T), p)
-        for b in np.flatnonzero((tags > 0).any(0)).tolist():
-            t, k, base = tags[:, b].tolist(), of[at + b], starts[at + b]
-            i = 0
-            while i < WIDTH:
-                if t[i] and t[i] % 2:
-                    j = i + 1
-                    while j < WIDTH and t[j] == t[i] + 1:
-                        j += 1
-                    start, end = base + i, min(base + j, len(texts[k]))
-                    if (i or not start) and (j < WIDTH or end == len(texts[k])):
-                        found[k].append((float(gain[i:j, b].mean()), start, (t[i] - 1) // 2, end))
-                    i = j
-                else:
-                    i += 1
+    edge = (WIDTH - STRIDE) // 2
+    k, tags, gain, at = -1, [], [], 0  # of the run of overlapping windows so far: text, tags and gains from character at on
+
+    def close() -> None:
+        if k >= 0:
+            found[k] += spans_of(tags, np.concatenate(gain), at, len(texts[k]))
+
+    for lot in range(0, len(every), 1024):
+        t, g = decode(np.ascontiguousarray(every[lot : lot + 1024].T), p)
+        for b in range(t.shape[1]):
+            if of[lot + b] == k and starts[lot + b] == at + len(tags) - WIDTH + STRIDE:
+                # the overlap's second half is this window's
+                del tags[len(tags) - edge :]
+                gain[-1] = gain[-1][: len(gain[-1]) - edge]
+                tags += t[WIDTH - STRIDE - edge :, b].tolist()
+                gain.append(g[WIDTH - STRIDE - edge :, b])
+            else:
+                close()
+                k, tags, gain, at = of[lot + b], t[:, b].tolist(), [g[:, b]], starts[lot + b]
+    close()
     return found
 
 
+def spans_of(tags: list[int], gain: np.ndarray, base: int, length: int) -> list[tuple[float, int, int, int]]:
+    """Spans of tags that begin at character base of a text; those cut by the ends of the tags inside the text are left out."""
+    out, i, n = [], 0, len(tags)
+    while i < n:
+        if tags[i] and tags[i] % 2:
+            j = i + 1
+            while j < n and tags[j] == tags[i] + 1:
+                j += 1
+            start, end = base + i, min(base + j, length)
+            if (i or not start) and (j < n or end == length):
+                out.append((float(gain[i:j].mean()), start, (tags[i] - 1) // 2, end))
+            i = j
+        else:
+            i += 1
+    return out
+
+
 def valid(address: str) -> bool:
     return all(p.isascii() and p.isdigit() and int(p) <= 255 for p in (x.strip() for x in address.split(".")))
 

@@ -230,3 +230,11 @@ def test_html_differencing_is_exact(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_pii_long_spans_at_any_offset():
+    for long in ("firstname_middlename.lastname @ department.company.org", "firstname_middlename.lastname @ department.subsidiary.company.example.org"):
+        texts = ["word " * (n // 5) + "x" * (n % 5) + " " + long + " and some more words after it" for n in range(5, 75)]
+        every = pii.guesses(texts, pii.model())
+        got = [any((k, t[s:e]) == (0, long) for s, k, e in pii.reconcile(t, *pii.rules(t), more)) for t, more in zip(texts, every)]
+        assert sum(got) == len(texts), (long, sum(got))
