@@ -3,7 +3,8 @@
 A text's features are which n-grams of three to five characters it has, hashed to 2**BITS places. Each feature
 is scaled by the logarithm of the ratio of its share of toxic and of other training texts; a logistic regression
 is trained on the scaled features. Training takes at most SAMPLE labelled rows of each class, those whose id has the
-smallest hash, so what reaches the driver is bounded at any size: ids of places, 2**BITS a row at most. The model is a vector of
+smallest hash, so what reaches the driver is bounded at any size: ids of places, 2**BITS a row at most. Training and calibration
+weight each class by its full count of labelled rows, so that a score means the same whether or not a class was cut. The model is a vector of
 2**BITS weights and is broadcast. Every whole text is scored, in place, without a shuffle.
 
 Defined cases: a null or empty text has no features and gets the score of the intercept; rows with a null id have the remainder of
@@ -60,9 +61,13 @@ class Model:
         return out
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray) -> Model:
-    """rows: places of each text; labels: 0 or 1. Accelerated full-batch descent; the same rows give the same model."""
+def train(rows: list[np.ndarray], labels: np.ndarray, each_for: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """rows: places of each text; labels: 0 or 1; each_for: how many rows one of either class stands for.
+
+    Accelerated full-batch descent; the same rows give the same model.
+    """
     n, y = len(rows), labels.astype(np.float64)
+    each_row = np.where(y == 1, each_for[1], each_for[0])
     if not n or y.min() == y.max():
         share = y.mean() if n else 0.5
         return Model(np.zeros(1 << BITS, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
@@ -82,30 +87,31 @@ def train(rows: list[np.ndarray], labels: np.ndarray) -> Model:
     w, v, b, vb, t = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0, 1.0
     for _ in range(ROUNDS):
         z = np.bincount(of, weights=x * v[idx], minlength=n) + vb
-        e = (1 / (1 + np.exp(-z)) - y) / n
+        e = each_row * (1 / (1 + np.exp(-z)) - y) / each_row.sum()
         g = np.bincount(idx, weights=x * e[of], minlength=len(used)) + RIDGE * v
         new, newb, more = v - RATE * g, vb - RATE * e.sum(), (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, vb = new + (t - 1) / more * (new - w), newb + (t - 1) / more * (newb - b)
         w, b, t = new, newb, more
     weights = np.zeros(1 << BITS, np.float32)
-    scale, shift = calibrate(np.bincount(of, weights=x * w[idx], minlength=n) + b, y)
+    scale, shift = calibrate(np.bincount(of, weights=x * w[idx], minlength=n) + b, y, each_row)
     weights[used] = scale * w * r / norm
     return Model(weights, float(scale * b + shift))
 
 
-def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Scale and shift of z under which a logistic function fits labels, softened so that separable ones stay finite."""
-    aim = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
+def calibrate(z: np.ndarray, y: np.ndarray, each: np.ndarray) -> tuple[float, float]:
+    """Scale and shift of z under which a logistic function fits weighted labels, softened so that separable ones stay finite."""
+    toxic, other = (each * y).sum(), (each * (1 - y)).sum()
+    aim = np.where(y == 1, (toxic + 1) / (toxic + 2), 1 / (other + 2))
     a = np.column_stack([z, np.ones(len(z))])
     p = np.array([1.0, 0.0])
 
     def loss(q):
         t = a @ q
-        return float((np.logaddexp(0, t) - aim * t).sum())
+        return float((each * (np.logaddexp(0, t) - aim * t)).sum())
 
     for _ in range(50):
         s = 1 / (1 + np.exp(-np.clip(a @ p, -60, 60)))
-        step = np.linalg.solve(a.T @ (a * (s * (1 - s))[:, None]) + 1e-9 * np.eye(2), a.T @ (s - aim))
+        step = np.linalg.solve(a.T @ (a * (each * s * (1 - s))[:, None]) + 1e-9 * np.eye(2), a.T @ (each * (s - aim)))
         k = 1.0
         while k > 1e-6 and loss(p - k * step) > loss(p):
             k /= 2
@@ -121,6 +127,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     """Learns from the documents of at most sample rows of labels for each class that are not held out."""
     known = labels.select(C.col(id_col).alias("__id"), C.col(label).cast("int").alias("__y")).where(~held_out(F.col("__id")))
     chosen = [known.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(sample) for y in (0, 1)]
+    full = dict(known.where("__y in (0, 1)").groupBy("__y").count().collect())
+    each_for = tuple(max(1.0, full.get(y, 0) / sample) for y in (0, 1))
     both = F.broadcast(chosen[0].union(chosen[1]))  # 2 * sample rows of two numbers
     joined = docs.select(C.col(id_col).alias("__id"), C.col(text_col).alias("__t")).join(both, "__id")
 
@@ -134,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
 
     kept = C.map_texts(joined, [F.col("__id"), F.col("__y")], F.col("__t"), [C.field("places", T.BinaryType())], factory)
     table = kept.toArrow().sort_by([("__id", "ascending"), ("__y", "ascending"), ("places", "ascending")])
-    return train([np.frombuffer(p, "<i4") for p in table["places"].to_pylist()], np.array(table["__y"].to_pylist(), np.int64))
+    return train([np.frombuffer(p, "<i4") for p in table["places"].to_pylist()], np.array(table["__y"].to_pylist(), np.int64), each_for)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

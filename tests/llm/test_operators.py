@@ -238,3 +238,12 @@ def test_pii_long_spans_at_any_offset():
         every = pii.guesses(texts, pii.model())
         got = [any((k, t[s:e]) == (0, long) for s, k, e in pii.reconcile(t, *pii.rules(t), more)) for t, more in zip(texts, every)]
         assert sum(got) == len(texts), (long, sum(got))
+
+
+def test_toxicity_scores_keep_the_share_of_each_class(spark):
+    rng = random.Random(8)
+    # the texts tell nothing of the label, so that a calibrated score is the share of toxic rows
+    rows = [(i, " ".join(rng.choice(["red", "blue", "green"]) for _ in range(4)), int(i % 10 == 0)) for i in range(3000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    means = [np.mean([r["score"] for r in toxicity.score(table, toxicity.fit(table, table, sample=n)).collect()]) for n in (5000, 200)]
+    assert all(0.07 < m < 0.14 for m in means), means
