@@ -39,21 +39,42 @@ NOISE = frozenset(
     "share sharing social related recommended newsletter subscribe signup popup modal overlay widget search complementary contentinfo".split()
 )
 
+#: What a name of noise may have beside words of NOISE: site-header, comment-list; but not article-header or with-sidebar.
+BESIDE = frozenset(
+    "area bar block bottom box btn button buttons center col column container content custom desktop form global group holder inner item items left link links list "
+    "main mobile outer page panel post posts primary right row secondary section site slot sticky the top unit wrap wrapper".split()
+)
+
 
 def noisy(rest: str) -> bool:
+    """Whether a whole name is noise: one word of NOISE at least, and otherwise words that go with it, or numbers."""
     if "=" not in rest:
         return False
-    return any(w in NOISE for m in NAMES.finditer(rest) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower()))
+    for m in NAMES.finditer(rest):
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            words = [w for w in re.split(r"[^a-z0-9]+", name) if w]
+            if any(w in NOISE for w in words) and all(w in NOISE or w in BESIDE or w.isdigit() for w in words):
+                return True
+    return False
 
 
 def blocks(page: str) -> tuple[list[str], bool]:
-    """Lines of text in page order, and whether they come from an article or main element."""
+    """Lines of text in page order, and whether they come from an article or main element.
+
+    If the page's only article or main lies in an element named like noise, and nothing else is left, that element isn't left out.
+    """
+    found = _blocks(page, False)
+    return found if found[0] else _blocks(page, True)
+
+
+def _blocks(page: str, spare: bool) -> tuple[list[str], bool]:
+    """spare: elements that hold an article or main are never left out."""
     inside: list[str] = []
     outside: list[str] = []
     parts: list[str] = []
     depth, lower, at, n = 0, None, 0, len(page)
     container = ""
-    skip, level = "", 0
+    skip, level, back, spared = "", 0, 0, set()
 
     def flush() -> None:
         if parts:
@@ -87,7 +108,10 @@ def blocks(page: str) -> tuple[list[str], bool]:
         at, name, closing = m.end(), m[2].lower(), bool(m[1])
         alone = name in VOID or m[3].endswith("/") and name not in INLINE and name not in OUT and name not in ("article", "main", "div", "p")
         if skip:
-            if name == skip and not alone:
+            if spare and name in ("article", "main") and not closing:
+                spared.add(back)
+                at, skip = back, ""
+            elif name == skip and not alone:
                 level += -1 if closing else 1
                 if not level:
                     skip = ""
@@ -100,14 +124,14 @@ def blocks(page: str) -> tuple[list[str], bool]:
             flush()
         elif name == "br":
             parts.append(" ")
-        if not closing and not alone and (name in OUT or name not in ("html", "body", "article", "main") and noisy(m[3]) or name == "article" and depth and noisy(m[3])):
+        if not closing and not alone and at not in spared and (name in OUT or name not in ("html", "body", "article", "main") and noisy(m[3]) or name == "article" and depth and noisy(m[3])):
             lower = lower or page.lower()
             end = lower.find(f"</{name}", at)
             if name in RAW:
                 at = n if end < 0 else end
             if end >= 0:  # an element that is never closed hides nothing
                 flush()
-                skip, level = name, 1
+                skip, level, back = name, 1, at
             continue
         if name in ("article", "main") and (not container or name == container):
             depth = max(0, depth + (-1 if closing else 1))

@@ -247,3 +247,10 @@ def test_toxicity_scores_keep_the_share_of_each_class(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     means = [np.mean([r["score"] for r in toxicity.score(table, toxicity.fit(table, table, sample=n)).collect()]) for n in (5000, 200)]
     assert all(0.07 < m < 0.14 for m in means), means
+
+
+def test_html_wrappers_named_like_noise_keep_the_article():
+    for tag in ('div class="content with-sidebar"', 'div id="search-results"', 'div class="article-header"', 'div class="sidebar"', "form"):
+        assert html.blocks(f"<body><nav>menu</nav><{tag}><article><p>Text</p></article></{tag.split()[0]}></body>") == (["Text"], True), tag
+    for name in ("site-header", "ad", "comment-list", "cookie-banner", "x menu"):
+        assert html.blocks(f'<div class="{name}">noise</div><p>Text</p>') == (["Text"], False), name
