@@ -83,5 +83,10 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "checkpoints"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: inside lambda functions the optimizer would put its whole expression wherever it is named."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def sha256(text: Column) -> Column:
     return F.sha2(text, 256)

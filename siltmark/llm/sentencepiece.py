@@ -1,14 +1,19 @@
 """SentencePiece encoding and decoding (operator 1): a relational lattice and a fold.
 
-Text is cut into units, a run of blanks and the word after it, which no piece crosses. For a dictionary of units the lattice is
-relational: substrings up to the longest piece are exploded, equi-joined to the piece table (broadcast: its size is that of the
-vocabulary), grouped by unit and folded with aggregate(). For a unigram model the fold is Viterbi's: the best
-score at every place, then the way back. For a BPE model the highest sum of scores isn't what the model means: there the
-fold goes over the same edges, joining at each step the best-scored edge that spans exactly two neighbouring pieces.
+Text is cut into units wherever no piece of the vocabulary has the two characters side by side, so that no piece crosses a
+cut. Every distinct unit goes through a lattice once: its substrings up to the longest piece are exploded, equi-joined to the piece
+table (broadcast: its size is that of the vocabulary), grouped by unit and folded with aggregate(). For a unigram model the fold is Viterbi's:
+the best score at every place, then the way back. For a BPE model the highest sum of scores isn't what the model means: there the
+fold goes once over the same edges in the order of their scores, joining an edge that spans exactly two neighbouring pieces. An edge with a
+better score that only such a join makes possible is joined at once.
 
-The dictionary holds the DICTIONARY most frequent units of up to LONGEST characters over all documents, a fixed bound,
-so that it may be broadcast. Any other unit is encoded in place by the same rule, in Python and with a bounded cache. A join of
-every document's units to a dictionary without bound would shuffle each (document, unit) pair twice.
+The texts of a task are dealt into chunks of some CHUNK bytes. (chunk, unit) pairs, each once a chunk, meet the folded units by unit
+and go on to their chunk, where the chunk's texts, packed, meet its own small dictionary: no dictionary is broadcast, and none is larger than a
+chunk's. Hot units appear once a chunk, so no group is large. If a chunk's rows should differ between its two readings (input that isn't
+deterministic), units missing from its dictionary are encoded in place by the same rule.
+
+A unit of over LONGEST characters, such as a run of thousands of dashes, would make the fold quadratic; it is merged by the same rule with
+a heap (tested against the library; the test tables have no such unit).
 
 Characters without a piece become byte pieces. Decoding joins the pieces, blanks for their mark, and drops the blank that
 encoding put in front.
@@ -21,8 +26,10 @@ from __future__ import annotations
 
 import heapq
 import os
-import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,24 +37,22 @@ from pyspark.sql import types as T
 from . import common as C
 
 MODEL = os.environ.get("SILTMARK_TOKENIZERS", "/opt/tokenizers") + "/piece_bpe_32k.model"
-DICTIONARY, LONGEST, CACHE, COUNTED = 1 << 15, 60, 1 << 17, 1 << 17
+#: Bytes of text in a chunk and in the pieces of it that Python works on at once; characters of a unit that is folded.
+CHUNK, PART, LONGEST = 32 << 20, 1 << 20, 1024
 BLANK = "▁"
-UNIT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
 class Vocabulary:
-    """ids and scores by piece, pieces by id, and the ids of the byte pieces."""
+    """ids and scores by piece (with blanks for their mark), bytes by id, and the ids of the byte pieces."""
 
     def __init__(self, rows: list[tuple[int, str, float, str]], kind: str = "bpe"):
         """rows: id, piece, score and type: normal, byte, control or unknown. kind: bpe or unigram."""
         self.kind = kind
-        self.table = {p: (i, s) for i, p, s, t in rows if t == "normal"}
+        self.table = {p.replace(BLANK, " "): (i, s) for i, p, s, t in rows if t == "normal"}
         self.byte = {int(p[3:-1], 16): i for i, p, _, t in rows if t == "byte"}
         self.out = {i: bytes([int(p[3:-1], 16)]) if t == "byte" else p.replace(BLANK, " ").encode() if t == "normal" else b"" for i, p, _, t in rows}
         self.unknown = next((i for i, _, _, t in rows if t == "unknown"), 0)
         self.longest = max(map(len, self.table), default=1)
-        if any(re.search(f"[^{BLANK}]{BLANK}", p) for p in self.table):
-            raise ValueError("a piece goes on after a word; units can't be cut there")
 
     @classmethod
     def read(cls, path: str = MODEL, kind: str = "bpe") -> Vocabulary:
@@ -57,6 +62,15 @@ class Vocabulary:
         kinds = lambda i: "byte" if sp.is_byte(i) else "unknown" if sp.is_unknown(i) else "control" if sp.is_control(i) or sp.is_unused(i) else "normal"
         return cls([(i, sp.id_to_piece(i), float(sp.get_score(i)), kinds(i)) for i in range(sp.vocab_size())], kind)
 
+    def late(self, piece: str) -> bool:
+        """Whether the piece can come from two pieces of which one has a worse score: it may become possible after its turn."""
+        own, table = self.table[piece][1], self.table
+        for k in range(1, len(piece)):
+            halves = [x for x in (piece[:k], piece[k:]) if len(x) > 1]
+            if all(x in table for x in halves) and any(table[x][1] <= own for x in halves):
+                return True
+        return False
+
     def single(self, c: str) -> list[int]:
         """Ids of a character that no chosen piece covers."""
         if hit := self.table.get(c):
@@ -77,16 +91,6 @@ class Vocabulary:
     def _merged(self, unit: str) -> list[str]:
         """Joins the best-scored neighbouring pair, the leftmost of equals, until none is a piece."""
         table, parts = self.table, list(unit)
-        if len(parts) <= LONGEST:
-            while True:
-                best, at = None, 0
-                for i in range(len(parts) - 1):
-                    hit = table.get(parts[i] + parts[i + 1])
-                    if hit and (best is None or hit[1] > best):
-                        best, at = hit[1], i
-                if best is None:
-                    return parts
-                parts[at : at + 2] = [parts[at] + parts[at + 1]]
         n = len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap: list[tuple[float, int, str]] = []
@@ -110,7 +114,7 @@ class Vocabulary:
 
     def _best(self, unit: str) -> list[str]:
         """The way with the best sum of scores; a character without a piece costs more than any way around it."""
-        worst = min((s for _, s in self.table.values()), default=0.0) - 10.0
+        worst = self.worst()
         best: list[tuple[float, int]] = [(0.0, 0)]
         for e in range(1, len(unit) + 1):
             found = (best[e - 1][0] + worst, e - 1)
@@ -125,141 +129,321 @@ class Vocabulary:
             e = best[e][1]
         return parts[::-1]
 
+    def worst(self) -> float:
+        return min((s for _, s in self.table.values()), default=0.0) - 10.0
+
+
+class Cutter:
+    """Cuts texts into units. Two characters stay together if a table of 2**22 places has their pair: a pair that
+    is there by chance only makes a unit longer, never a wrong one."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        pairs = sorted({p[i : i + 2] for p in vocabulary.table for i in range(len(p) - 1)})
+        self.together = np.zeros(1 << 22, bool)
+        if pairs:
+            chars = np.array([[ord(x) for x in p] for p in pairs], np.uint32)
+            self.together[self._place(chars[:, 0], chars[:, 1])] = True
+
+    @staticmethod
+    def _place(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (a * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA6B) + (a >> np.uint32(3))) >> np.uint32(10)
+
+    def units(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """All units in order, and for each text the number of the first unit after it."""
+        marked = [" " + t.replace(BLANK, " ") if t else "" for t in texts]
+        whole = "".join(marked)
+        if not whole:
+            return pa.array([], pa.string()), np.zeros(len(texts), np.int64)
+        ends = np.cumsum([len(t) for t in marked])
+        chars, data = np.frombuffer(whole.encode("utf-32-le", "replace"), np.uint32), whole.encode("utf-8", "replace")
+        cut = np.ones(len(chars), bool)
+        cut[1:] = ~self.together[self._place(chars[:-1], chars[1:])]
+        cut[ends[ends < len(chars)]] = True
+        first = np.flatnonzero(cut)
+        after = np.searchsorted(first, ends, "left")
+        if len(data) != len(chars):
+            first = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)[first]
+        offsets = np.append(first, len(data)).astype(np.int32)
+        return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(data)), after
+
+
+def chunked(batches):
+    """(chunk, part of a batch without its last column) in the order of the rows. The last two columns are the text and the number of the
+    partition. A row's chunk follows from that number and from the bytes of text before it there, whatever the batches are."""
+    so_far = 0
+    for whole in batches:
+        if not whole.num_rows:
+            continue
+        base, text = whole.column(whole.num_columns - 1)[0].as_py() << 24, whole.num_columns - 2
+        b = pa.RecordBatch.from_arrays(whole.columns[:-1], names=whole.schema.names[:-1])
+        sizes = pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        before = so_far + np.cumsum(sizes) - sizes
+        so_far = int(before[-1] + sizes[-1]) if len(sizes) else so_far
+        chunk, part = before // CHUNK, before // PART
+        edges = np.flatnonzero((np.diff(chunk) != 0) | (np.diff(part) != 0)) + 1
+        for a, z in zip([0, *edges.tolist()], [*edges.tolist(), b.num_rows]):
+            if z > a:
+                yield base + int(chunk[a]), b.slice(a, z - a)
+
+
+def chunk_units(docs: DataFrame, text_col: str, vocabulary: Vocabulary) -> DataFrame:
+    """(chunk, unit), each once."""
+    shared = docs.sparkSession.sparkContext.broadcast(Cutter(vocabulary))
 
-def units(text: str) -> list[str]:
-    return UNIT.findall(BLANK + text.replace(" ", BLANK)) if text else []
+    def run(batches):
+        cutter, now, seen = shared.value, None, []
 
+        def done():
+            every = pc.unique(pa.concat_arrays(seen))
+            for at in range(0, len(every), 1 << 14):
+                some = every.slice(at, 1 << 14)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), now, np.int64)), some], names=["chunk", "unit"])
 
-def count_units(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """unit and n over all texts; each task counts up to COUNTED units or a slice more before it sends them on."""
-    import pyarrow as pa
+        for chunk, b in chunked(batches):
+            if chunk != now and seen:
+                yield from done()
+                seen = []
+            now = chunk
+            seen.append(pc.unique(cutter.units(_texts(b.column(0)))[0]))
+            if len(seen) > 8:
+                seen = [pc.unique(pa.concat_arrays(seen))]
+        if seen:
+            yield from done()
 
-    def batch(seen):
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["unit", "n"])
+    return docs.select(_utf8(text_col), _partition()).mapInArrow(run, "chunk long, unit string")
 
-    def run(batches):
-        seen: dict[str, int] = {}
-        for b in (x for whole in batches for x in C.slices(whole)):
-            for t in b.column(0).to_pylist():
-                for u in units(t or ""):
-                    seen[u] = seen.get(u, 0) + 1
-            if len(seen) >= COUNTED:
-                yield batch({u: n for u, n in seen.items() if len(u) <= LONGEST})
-                seen = {}
-        yield batch({u: n for u, n in seen.items() if len(u) <= LONGEST})
 
-    return docs.select(C.col(text_col).cast("string")).mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+def _partition() -> Column:
+    """The number of the partition as the scan counts it; a task's own number is another one below a union."""
+    return F.spark_partition_id().alias("__partition")
+
+
+def _utf8(text_col: str) -> Column:
+    return F.coalesce(C.col(text_col).cast("string"), F.lit("")).cast("binary").alias("__text")
+
+
+def _texts(column) -> list[str]:
+    return [t.decode("utf-8", "replace") for t in column.to_pylist()]
 
 
 def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """unit and edges: structs (s, e, id, score) of every piece in it; words have distinct units."""
+    """unit and edges: structs (rank, s, e, id, late) of every piece in it; words have distinct units. A unit without any piece is left out.
+
+    Needs no exchange beyond the broadcast if words are partitioned by unit.
+    """
     n = F.length("unit")
-    starts = words.select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
-    ends = starts.select("unit", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + longest, F.length("unit")))).alias("e"))
-    cut = ends.select("unit", "s", "e", F.substring("unit", F.col("s") + 1, F.col("e") - F.col("s")).alias("piece"))
+    starts = words.select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("s")).select("unit", "s", F.substring("unit", F.col("s") + 1, F.lit(longest)).alias("from"))
+    ends = starts.select("unit", "s", "from", F.explode(F.sequence(F.lit(1), F.length("from"))).alias("n"))
+    cut = ends.select("unit", "s", (F.col("s") + F.col("n")).alias("e"), F.substring("from", F.lit(1), F.col("n")).alias("piece"))
     met = cut.join(F.broadcast(pieces), "piece")
-    edges = met.groupBy("unit").agg(F.collect_list(F.struct("s", "e", "id", "score")).alias("edges"))
-    return words.select("unit").join(edges, "unit", "left").select("unit", F.coalesce("edges", F.array().cast("array<struct<s:int,e:int,id:int,score:double>>")).alias("edges"))
+    return met.groupBy("unit").agg(F.collect_list(F.struct("rank", "s", "e", "id", "late")).alias("edges"))
 
 
-def _bit(i: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), i)
+def fold_merges(edges: Column, size: Column) -> Column:
+    """A byte for each place of a unit of size characters: 1 where a piece begins or ends, 0 inside."""
 
+    def able(marks: Column, e: Column) -> Column:
+        x = F.substring(marks, e["s"] + 1, e["e"] - e["s"] + 1).cast("string")
+        return (F.replace(x, F.lit("0"), F.lit("")) == "111") & x.startswith("1") & x.endswith("1")
 
-def fold_merges(lattice: DataFrame) -> DataFrame:
-    """unit and cuts: the places where its pieces begin and end, as bits of a long (units up to LONGEST characters)."""
-    marked = F.transform(
-        F.filter("edges", lambda e: e["e"] - e["s"] > 1),
-        lambda e: F.struct(
-            (-e["score"]).alias("rank"), e["s"].alias("s"), _bit(e["s"]).bitwiseOR(_bit(e["e"])).alias("ends"),
-            (_bit(e["e"]) - _bit(e["s"] + 1)).alias("inner"),
-        ),
-    )
-    sorted_ = lattice.select("unit", "edges", F.array_sort(marked).alias("m"))
-    start = _bit(F.length("unit") + 1) - 1
+    def joined(marks: Column, e: Column) -> Column:
+        return F.overlay(marks, F.repeat(F.lit("0"), e["e"] - e["s"] - 1).cast("binary"), e["s"] + 2, e["e"] - e["s"] - 1)
 
-    def step(b: Column, _: Column) -> Column:
-        able = F.filter("m", lambda e: (b.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(b.bitwiseAND(e["inner"])) == 1))
-        return F.coalesce(b.bitwiseAND(F.bitwise_not(F.get(able, F.lit(0))["inner"])), b)
+    def folded(m: Column, later: Column) -> Column:
+        def follow(marks: Column, e: Column) -> Column:
+            """Joins, best first, what came before e in the order and is possible only now."""
+            near = F.filter(later, lambda x: (x["s"] <= e["s"]) & (x["e"] >= e["e"]) & ((x["rank"] < e["rank"]) | (x["rank"] == e["rank"]) & (x["s"] < e["s"])))
 
-    steps = F.slice(F.sequence(F.lit(1), F.greatest(F.length("unit"), F.lit(1))), F.lit(2), F.length("unit"))
-    return sorted_.select("unit", "edges", F.aggregate(steps, start, step).alias("cuts"))
+            def with_near(these: Column) -> Column:
+                def step(b: Column, _: Column) -> Column:
+                    return C.let(F.get(F.filter(these, lambda x: able(b, x)), F.lit(0)), lambda best: F.coalesce(joined(b, best), b))
 
+                return F.aggregate(these, joined(marks, e), step)
 
-def fold_viterbi(lattice: DataFrame, worst: float) -> DataFrame:
-    """The same cuts for a unigram model: the best sum of scores; characters without a piece cost worst."""
-    n = F.length("unit")
-    chars = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("s"), (i + 1).alias("e"), F.lit(worst).alias("score")))
-    every = F.array_sort(F.concat(F.transform("edges", lambda e: F.struct(e["s"].alias("s"), e["e"].alias("e"), e["score"].alias("score"))), chars))
-    begin = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(F.when(i == 0, 0.0).otherwise(float("-inf")).alias("score"), F.when(i == 0, 1).otherwise(0).cast("long").alias("cuts")))
+            return C.let(near, with_near)
+
+        start = F.repeat(F.lit("1"), size + 1).cast("binary")
+        return F.aggregate(m, start, lambda b, e: F.when(able(b, e), follow(b, e)).otherwise(b))
+
+    return C.let(F.array_sort(F.filter(edges, lambda e: e["e"] - e["s"] > 1)), lambda m: C.let(F.filter(m, lambda e: e["late"]), lambda later: folded(m, later)))
+
+
+def fold_viterbi(edges: Column, size: Column, worst: float) -> Column:
+    """The same marks for a unigram model: the best sum of scores (rank is the negative score); characters without a piece cost worst."""
+    chars = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.struct((i + 1).alias("e"), i.alias("s"), F.lit(worst).alias("score")))
+    every = F.array_sort(F.concat(F.transform(edges, lambda e: F.struct(e["e"].alias("e"), e["s"].alias("s"), (-e["rank"]).alias("score"))), chars))
+    begin = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(-1).alias("back")))
 
     def step(best: Column, e: Column) -> Column:
-        here = F.get(best, e["s"])
-        new = here["score"] + e["score"]
-        better = F.struct(new.alias("score"), here["cuts"].bitwiseOR(_bit(e["e"])).alias("cuts"))
-        return F.transform(best, lambda x, i: F.when((i == e["e"]) & (new > x["score"]), better).otherwise(x))
+        """best: by place up to the last end seen; edges come in the order of their ends."""
+        new = F.struct((F.get(best, e["s"])["score"] + e["score"]).alias("score"), e["s"].alias("back"))
+        opened = F.concat(best, F.array(new))
+        better = F.concat(F.slice(best, F.lit(1), F.size(best) - 1), F.array(new))
+        return F.when(F.size(best) == e["e"], opened).when(new["score"] > F.get(best, e["e"])["score"], better).otherwise(best)
 
-    return lattice.select("unit", "edges", F.element_at(F.aggregate(every, begin, step), -1)["cuts"].alias("cuts"))
+    ends = F.struct(size.alias("at"), F.repeat(F.lit("0"), size + 1).cast("binary").alias("marks"))
 
+    def way(best: Column) -> Column:
+        def back(s: Column, _: Column) -> Column:
+            marked = F.overlay(s["marks"], F.lit("1").cast("binary"), s["at"] + 1, F.lit(1))
+            return F.when(s["at"] >= 0, F.struct(F.get(best, s["at"])["back"].alias("at"), marked.alias("marks"))).otherwise(s)
 
-def dictionary(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """unit and ids for words (distinct units of 1 to LONGEST characters), by lattice and fold."""
-    spark = words.sparkSession
-    pieces = spark.createDataFrame([(p, i, s) for p, (i, s) in vocabulary.table.items()], "piece string, id int, score double")
-    net = lattice(words, pieces, vocabulary.longest)
-    worst = min((s for _, s in vocabulary.table.values()), default=0.0) - 10.0
-    cut = fold_merges(net) if vocabulary.kind == "bpe" else fold_viterbi(net, worst)
-    at = F.filter(F.sequence(F.lit(0), F.length("unit")), lambda i: F.col("cuts").bitwiseAND(_bit(i)) != 0)
-    spans = F.transform(F.slice("at", F.lit(1), F.size("at") - 1), lambda s, k: F.struct(s.alias("s"), F.get("at", k + 1).alias("e")))
+        return F.aggregate(F.sequence(F.lit(0), size), ends, back, lambda s: s["marks"])
+
+    return C.let(F.aggregate(every, begin, step), way)
+
+
+def piece_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
+    """piece, id, rank (the negative score) and late of the vocabulary's normal pieces."""
+    rows = [(p, i, -s, vocabulary.kind == "bpe" and vocabulary.late(p)) for p, (i, s) in vocabulary.table.items()]
+    return spark.createDataFrame(pa.table({"piece": [r[0] for r in rows], "id": pa.array([r[1] for r in rows], pa.int32()), "rank": [r[2] for r in rows], "late": [r[3] for r in rows]}))
+
+
+def spelled(text: Column, vocabulary: Vocabulary) -> Column:
+    """Ids of a character, or of characters none of which has a piece."""
     first = vocabulary.byte.get(0)
-    straight = first is not None and all(vocabulary.byte.get(b) == first + b for b in range(256))
+    if first is None or any(vocabulary.byte.get(b) != first + b for b in range(256)):
+        return F.transform(F.split(text, ""), lambda _: F.lit(vocabulary.unknown))
+    coded = F.hex(F.encode(text, "UTF-8"))
+    return F.transform(F.sequence(F.lit(0), (F.length(coded) / 2).cast("int") - 1), lambda k: (F.conv(F.substring(coded, 2 * k + 1, F.lit(2)), 16, 10).cast("int") + F.lit(first)))
 
-    def ids(p: Column) -> Column:
-        hit = F.get(F.filter("edges", lambda e: (e["s"] == p["s"]) & (e["e"] == p["e"])), F.lit(0))["id"]
-        coded = F.hex(F.encode(F.substring("unit", p["s"] + 1, F.lit(1)), "UTF-8"))
-        byte = F.transform(F.sequence(F.lit(0), (F.length(coded) / 2).cast("int") - 1), lambda k: (F.conv(F.substring(coded, 2 * k + 1, F.lit(2)), 16, 10).cast("int") + F.lit(first or 0)))
-        return F.when(hit.isNotNull(), F.array(hit)).otherwise(byte if straight else F.array(F.lit(vocabulary.unknown)))
 
-    return cut.select("unit", "edges", at.alias("at")).select("unit", F.flatten(F.transform(spans, ids)).alias("ids"))
+def dictionary(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """unit and ids for words (distinct units of 1 to LONGEST characters) with at least one piece, by lattice and fold."""
+    net = lattice(words, piece_table(words.sparkSession, vocabulary), vocabulary.longest)
+    edges, unit, size = F.col("edges"), F.col("unit"), F.length("unit")
+    marks = fold_merges(edges, size) if vocabulary.kind == "bpe" else fold_viterbi(edges, size, vocabulary.worst())
 
+    def ids(s: Column, e: Column) -> Column:
+        hit = F.get(F.filter(edges, lambda x: (x["s"] == s) & (x["e"] == e)), F.lit(0))["id"]
+        return C.let(hit, lambda i: F.when(i.isNotNull(), F.array(i)).otherwise(spelled(F.substring(unit, s + 1, F.lit(1)), vocabulary)))
 
-IDS = C.field("ids", T.ArrayType(T.IntegerType()))
+    def pieces(at: Column) -> Column:
+        """at: where pieces begin and end."""
+        return F.flatten(F.transform(F.slice(at, F.lit(1), F.size(at) - 1), lambda s, k: ids(s, F.get(at, k + 1))))
+
+    at = C.let(marks, lambda m: F.filter(F.sequence(F.lit(0), size), lambda i: F.substring(m, i + 1, F.lit(1)) == F.lit("1").cast("binary")))
+    return net.select("unit", C.let(at, pieces).alias("ids"))
+
+
+def chunk_dictionaries(pairs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(chunk, packed): units with their ids, some of them in each row; pairs: (chunk, unit), each once.
+
+    Pairs are dealt by unit once; what needs them, distinct units and the join, shares that exchange (both read both columns).
+    """
+    dealt = pairs.where(F.length("unit") <= LONGEST).repartition("unit")
+    words = dealt.groupBy("unit").agg(F.min("chunk").alias("least"))
+    folded = dictionary(words.where("least >= 0").select("unit"), vocabulary).withColumnRenamed("unit", "__unit")
+    met = dealt.join(folded, F.col("unit") == F.col("__unit"), "left").select("chunk", "unit", F.coalesce("ids", spelled(F.col("unit"), vocabulary)).alias("ids"))
+    small = max(vocabulary.out, default=0) < 1 << 16
+
+    def run(batches):
+        for b in batches:
+            ids = b.column(2).cast(pa.list_(pa.uint16() if small else pa.int32()))
+            by = pc.sort_indices(pa.table([b.column(0), b.column(1)], names=["chunk", "unit"]), [("chunk", "ascending"), ("unit", "ascending")])
+            sorted_ = pa.RecordBatch.from_arrays([b.column(1).take(by), ids.take(by)], names=["unit", "ids"])
+            chunk = b.column(0).take(by).to_numpy()
+            edges = np.flatnonzero(np.diff(chunk)) + 1
+            spans = [(a, z) for a, z in zip([0, *edges.tolist()], [*edges.tolist(), len(chunk)]) if z > a]
+            yield pa.RecordBatch.from_arrays([pa.array([int(chunk[a]) for a, _ in spans], pa.int64()), pa.array([pack(sorted_.slice(a, z - a)) for a, z in spans], pa.binary())], names=["chunk", "packed"])
 
+    return met.mapInArrow(run, "chunk long, packed binary")
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, carry, text_col: str = "text", size: int = DICTIONARY) -> DataFrame:
-    """carry and ids of every row. The dictionary is fixed in size, the rest encoded in place."""
-    spark = docs.sparkSession
-    C.ensure_checkpoints(spark)
-    frequent = count_units(docs, text_col).orderBy(F.desc("n"), "unit").limit(size).select("unit").checkpoint()
-    folded = dictionary(frequent.repartition(64, "unit"), vocabulary).toArrow()
-    shared = spark.sparkContext.broadcast((vocabulary, dict(zip(folded["unit"].to_pylist(), map(tuple, folded["ids"].to_pylist())))))
 
-    def factory():
-        v, known = shared.value
-        more: dict[str, tuple] = {}
+def pack(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd", use_threads=False)) as w:
+        w.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
-        def one(data: bytes) -> list[int]:
-            out: list[int] = []
-            for u in units(data.decode("utf-8", "replace")):
-                ids = known.get(u)
-                if ids is None and (ids := more.get(u)) is None:
-                    if len(more) >= CACHE:
-                        more.clear()
-                    ids = tuple(v.encode_unit(u))
-                    if len(u) <= LONGEST:
-                        more[u] = ids
-                out += ids
-            return out
 
-        return lambda texts: [[one(t) for t in texts]]
+def unpack(data: bytes) -> pa.RecordBatch:
+    return next(iter(pa.ipc.open_stream(data, options=pa.ipc.IpcReadOptions(use_threads=False))))
 
-    return C.map_texts(docs, carry, C.col(text_col), [IDS], factory)
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, carry, text_col: str = "text", check: bool = False) -> DataFrame:
+    """carry and ids of every row; with check also round_trip, whether the decoded ids give the text again."""
+    chosen = docs.select(*carry, _utf8(text_col), _partition())
+    kept = chosen.schema.fields[:-2]
+    last = len(kept)
+
+    def packed(batches):
+        for chunk, b in chunked(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([1], pa.int32()), pa.array([pack(b)], pa.binary())], names=["chunk", "kind", "packed"])
+
+    texts = chosen.mapInArrow(packed, "chunk long, kind int, packed binary")
+    known = chunk_dictionaries(chunk_units(docs, text_col, vocabulary), vocabulary).select("chunk", F.lit(0).alias("kind"), "packed")
+    both = known.unionByName(texts).repartition("chunk").sortWithinPartitions("chunk", "kind")
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, Cutter(vocabulary)))
+    fields = [*kept, IDS, *([C.field("round_trip", C.BOOL)] if check else [])]
+    names = [f.name for f in fields]
+
+    def run(batches):
+        v, cutter = shared.value
+        spelling = [v.out.get(i, b"") for i in range(max(v.out, default=0) + 1)].__getitem__
+        now, known, parts = None, [], []
+
+        def done():
+            """Rows of a chunk; parts: its texts, packed, with their units."""
+            book = Book(known, v, [units for _, units, _ in parts])
+            for data, units, after in parts:
+                part = unpack(data)
+                ids, ends = book.encode(units, after)
+                made = [pa.ListArray.from_arrays(pa.array(np.append([0], ends).astype(np.int32)), pa.array(ids))]
+                if check:
+                    at = [0, *ends.tolist()]
+                    made.append(pa.array([b"".join(map(spelling, ids[x:y].tolist()))[1:] == t for x, y, t in zip(at, at[1:], part.column(last).to_pylist())], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(last)), *made], names=names)
+
+        for b in batches:
+            for chunk, kind, data in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if chunk != now:
+                    yield from done()
+                    now, known, parts = chunk, [], []
+                if kind == 0:
+                    known.append(unpack(data))
+                else:
+                    units, after = cutter.units(_texts(unpack(data).column(last)))
+                    parts.append((data, units.dictionary_encode(), after))
+        yield from done()
+
+    return both.select("chunk", "kind", "packed").mapInArrow(run, T.StructType(fields))
+
+
+class Book:
+    """The dictionary of a chunk, whose texts are made of these units (dictionary-encoded)."""
+
+    def __init__(self, known: list[pa.RecordBatch], vocabulary: Vocabulary, coded: list[pa.DictionaryArray]):
+        wanted = pa.concat_arrays([x.dictionary for x in coded]) if coded else pa.array([], pa.string())
+        units = pa.concat_arrays([x.column(0) for x in known]) if known else pa.array([], pa.string())
+        ids = pa.concat_arrays([x.column(1).cast(pa.list_(pa.int32())) for x in known]) if known else pa.array([], pa.list_(pa.int32()))
+        place = pc.index_in(wanted, units)
+        if place.null_count:
+            missing = pc.unique(wanted.filter(pc.is_null(place)))
+            units, ids = pa.concat_arrays([units, missing]), pa.concat_arrays([ids, pa.array([vocabulary.encode_unit(u) for u in missing.to_pylist()], pa.list_(pa.int32()))])
+            place = pc.index_in(wanted, units)
+        self.lengths = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.values = ids.flatten().to_numpy(zero_copy_only=False)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.place, self.at = place.to_numpy(zero_copy_only=False), 0
+
+    def encode(self, coded: pa.DictionaryArray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For the parts in their order: ids of all units, and for each text the number of the first id after it."""
+        own = self.place[self.at : self.at + len(coded.dictionary)]
+        self.at += len(own)
+        of = own[coded.indices.to_numpy(zero_copy_only=False)]
+        each = self.lengths[of]
+        ends = np.cumsum(each)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.values[np.arange(total) + np.repeat(self.starts[of] - (ends - each), each)]
+        return ids, np.append([0], ends)[after]
+
+
+IDS = C.field("ids", T.ArrayType(T.IntegerType()))
 
 
 def decode(pieces: DataFrame, vocabulary: Vocabulary, carry, ids_col: str = "ids") -> DataFrame:
     """carry and text of every row of ids; ids that the vocabulary hasn't are left out, null lists give an empty text."""
-    import pyarrow as pa
-
     shared = pieces.sparkSession.sparkContext.broadcast(vocabulary.out)
     chosen = pieces.select(*carry, C.col(ids_col).alias("__ids"))
     kept = chosen.schema.fields[:-1]
@@ -279,12 +463,8 @@ def decode(pieces: DataFrame, vocabulary: Vocabulary, carry, ids_col: str = "ids
 
 def pieces_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = MODEL) -> DataFrame:
     """id, ids, n_pieces and round_trip (whether decoding gives the text again) of every row."""
-    v = Vocabulary.read(path)
-    text = F.coalesce(C.col(text_col).cast("string"), F.lit(""))
-    coded = encode(docs, v, [C.col(id_col).alias(id_col), F.length(text).alias("__n"), F.xxhash64(text).alias("__h")], text_col)
-    back = decode(coded, v, [C.col(id_col).alias(id_col), F.col("__n"), F.col("__h"), F.col("ids")])
-    same = (F.length("text") == F.col("__n")) & (F.xxhash64("text") == F.col("__h"))
-    return back.select(id_col, "ids", F.size("ids").cast("long").alias("n_pieces"), same.alias("round_trip"))
+    coded = encode(docs, Vocabulary.read(path), [C.col(id_col).alias(id_col)], text_col, check=True)
+    return coded.select(id_col, "ids", F.size("ids").cast("long").alias("n_pieces"), "round_trip")
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
