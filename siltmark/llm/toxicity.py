@@ -24,7 +24,7 @@ from . import common as C
 BITS, SIZES = 18, (3, 4, 5)
 #: Labelled rows of each class that training takes at most.
 SAMPLE = 3000
-ROUNDS, RIDGE, SMOOTH, RATE = 80, 1e-5, 1.0, 4.0
+ROUNDS, RIDGE, SMOOTH, RATE, BLOCK = 80, 1e-5, 1.0, 4.0, 256
 #: Odd multipliers that spread the characters of an n-gram.
 MIX, LAST = 0x9E3779B1, 0x85EBCA6B
 
@@ -61,40 +61,49 @@ class Model:
         return out
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, each_for: tuple[float, float] = (1.0, 1.0)) -> Model:
+def train(rows: list[np.ndarray], labels: np.ndarray, each_for: tuple[float, float] = (1.0, 1.0), ridge: float = RIDGE, rounds: int = ROUNDS) -> Model:
     """rows: places of each text; labels: 0 or 1; each_for: how many rows one of either class stands for.
 
-    Accelerated full-batch descent; the same rows give the same model.
+    Accelerated full-batch descent; the same rows give the same model. A feature's value depends on its place alone, so that only
+    the places are held, four bytes each and without the rare ones, and BLOCK rows at a time are worked on.
     """
     n, y = len(rows), labels.astype(np.float64)
     each_row = np.where(y == 1, each_for[1], each_for[0])
     if not n or y.min() == y.max():
         share = y.mean() if n else 0.5
         return Model(np.zeros(1 << BITS, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
-    each = np.array([len(r) for r in rows])
-    idx, of = np.concatenate(rows).astype(np.int64), np.repeat(np.arange(n), each)
-    pos = np.bincount(idx, weights=y[of], minlength=1 << BITS)
-    neg = np.bincount(idx, minlength=1 << BITS) - pos
+    counts = np.zeros((2, 1 << BITS), np.int32)
+    for r, k in zip(rows, y.astype(int).tolist()):
+        counts[k, r] += 1
+    neg, pos = counts
     ratio = np.log((pos + SMOOTH) / (y.sum() + 2 * SMOOTH)) - np.log((neg + SMOOTH) / (n - y.sum() + 2 * SMOOTH))
-    ratio[pos + neg < 3] = 0
-    keep = ratio[idx] != 0
-    idx, of = idx[keep], of[keep]
-    used, idx = np.unique(idx, return_inverse=True)
-    r = ratio[used]
-    x = r[idx]
-    norm = np.sqrt(np.maximum(1e-9, np.bincount(of, weights=x * x, minlength=n)).mean())
-    x = (x / norm).astype(np.float32)
+    used = np.flatnonzero((pos + neg >= 3) & (ratio != 0))
+    number = np.full(1 << BITS, -1, np.int32)
+    number[used] = np.arange(len(used), dtype=np.int32)
+    lists = [(m := number[r])[m >= 0] for r in rows]
+    each, idx = np.array([len(x) for x in lists]), np.concatenate(lists)
+    del lists
+    r, ends = ratio[used], np.append(0, np.cumsum(each))
+    blocks = [(a, min(n, a + BLOCK)) for a in range(0, n, BLOCK)]
+
+    def summed(u: np.ndarray) -> np.ndarray:
+        """For each row the sum of u over its places."""
+        return np.concatenate([np.diff(np.append(0, np.cumsum(u[idx[ends[a] : ends[z]]]))[ends[a : z + 1] - ends[a]]) for a, z in blocks])
+
+    r = r / np.sqrt(max(1e-9, summed(r * r).mean()))
     w, v, b, vb, t = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0, 1.0
-    for _ in range(ROUNDS):
-        z = np.bincount(of, weights=x * v[idx], minlength=n) + vb
+    for _ in range(rounds):
+        z = summed(r * v) + vb
         e = each_row * (1 / (1 + np.exp(-z)) - y) / each_row.sum()
-        g = np.bincount(idx, weights=x * e[of], minlength=len(used)) + RIDGE * v
+        g = ridge * v
+        for a, end in blocks:
+            g += r * np.bincount(idx[ends[a] : ends[end]], weights=np.repeat(e[a:end], each[a:end]), minlength=len(used))
         new, newb, more = v - RATE * g, vb - RATE * e.sum(), (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, vb = new + (t - 1) / more * (new - w), newb + (t - 1) / more * (newb - b)
         w, b, t = new, newb, more
     weights = np.zeros(1 << BITS, np.float32)
-    scale, shift = calibrate(np.bincount(of, weights=x * w[idx], minlength=n) + b, y, each_row)
-    weights[used] = scale * w * r / norm
+    scale, shift = calibrate(summed(r * w) + b, y, each_row)
+    weights[used] = scale * w * r
     return Model(weights, float(scale * b + shift))
 
 
@@ -141,8 +150,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
         return work
 
     kept = C.map_texts(joined, [F.col("__id"), F.col("__y")], F.col("__t"), [C.field("places", T.BinaryType())], factory)
-    table = kept.toArrow().sort_by([("__id", "ascending"), ("__y", "ascending"), ("places", "ascending")])
-    return train([np.frombuffer(p, "<i4") for p in table["places"].to_pylist()], np.array(table["__y"].to_pylist(), np.int64), each_for)
+    return train(*sample_of(kept), each_for)
+
+
+def sample_of(kept: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
+    """Places and labels of the training rows in a fixed order; the places are views of what Spark has sent."""
+    table = kept.select("__id", "__y", F.xxhash64("places").alias("__h"), "places").toArrow()
+    order = np.lexsort([table[c].to_numpy() for c in ("__h", "__y", "__id")])
+    views = [np.frombuffer(x.as_buffer(), "<i4") if x.as_buffer().size else np.empty(0, "<i4") for x in table["places"]]
+    return [views[k] for k in order.tolist()], table["__y"].to_numpy()[order].astype(np.int64)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
