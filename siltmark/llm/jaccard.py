@@ -1,23 +1,21 @@
-"""Near-duplicates by exact Jaccard similarity of five-word shingles, for the pipeline's near-dedup stage.
+"""Near-duplicates by exact Jaccard similarity of word shingles: how simhash.deduplicate settles a stated similarity.
 
 Two documents are near copies if their sets of shingles (WORDS words each, in lower case; a shorter text is one shingle) have a
-Jaccard similarity of at least SIMILAR; one document of each connected component stays. No pair is missed: with the
+Jaccard similarity of at least SIMILAR. No pair is missed: with the
 shingles of all documents in one fixed order, two such sets share one of the first n - ceil(0.8 n) + 1 shingles of each. The order
 puts the frequent shingles of a sample last; the sample bears on the speed only.
 
 Documents with the same set are one node. Of all that share a shingle each is first compared with the least node only; then,
 within the components found so, only pairs of different components are, those within the shingle's largest component left out. So a large
-group of near copies isn't paired with itself. Each candidate is verified on the whole sets. The pairs of different components
+group of near copies isn't paired with itself. Each candidate is verified on the whole sets; sets are sent for the nodes of candidates only,
+which the tasks know by a bitmap of a fixed size (a node that is there by chance is dropped afterwards). The pairs of different components
 that share a rare shingle can be quadratic if many unlike documents share it.
 
-Defined cases: null, empty and wordless texts have the empty set and are copies of one another; a null id doesn't count as an id,
-its row stays. Shingles and sets are told apart by 64-bit hashes.
+Defined cases: null, empty and wordless texts have the empty set and are copies of one another. Shingles and sets are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,60 +24,109 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common as C
-from . import simhash
 
 WORDS, SEED = 5, 42
 #: Similarity as a fraction, so that the limit itself is exact.
 SIMILAR = (4, 5)
 #: Documents that the order of shingles is taken from, and shingles that it puts last.
 SAMPLE, FREQUENT = 2_000, 100_000
-#: Places of a sketch, and nodes in a group when pairs are tested.
-BITS, GROUP = 2048, 4096
-
+#: Nodes in a group when pairs are tested; bits of the map of candidates.
+GROUP, MAP_BITS = 4096, 1 << 26
+#: Bytes of text whose shingles are made at once.
+PART = 1 << 20
 
-def shingles(data: bytes, size: int = WORDS) -> np.ndarray:
-    """Hashes of the distinct shingles, sorted."""
-    words = data.lower().split()
-    if not words:
-        return np.empty(0, "<i8")
-    hashed, join = xxhash.xxh64_intdigest, b" ".join
-    parts = zip(*(words[i:] for i in range(size))) if len(words) >= size else [words]
-    return np.unique(np.fromiter((hashed(join(s), SEED) for s in parts), "<u8").view("<i8"))
 
+def sets_of(texts: list[bytes], size: int = WORDS) -> list[np.ndarray]:
+    """Of each text the hashes of its distinct shingles, sorted.
 
-def _node(found: bytes) -> int:
-    return xxhash.xxh64_intdigest(found, SEED) - (1 << 63)
+    Words are hashed once each, a shingle is a sum of its words' hashes times odd numbers, mixed.
+    """
+    out: list[np.ndarray] = []
+    begin = held = 0
+    for at, t in enumerate(texts):
+        held += len(t)
+        if held >= PART or at == len(texts) - 1:
+            out += _sets_of(texts[begin : at + 1], size)
+            begin, held = at + 1, 0
+    return out
+
+
+def _sets_of(texts: list[bytes], size: int) -> list[np.ndarray]:
+    words = [t.lower().split() for t in texts]
+    counts = np.array([len(w) for w in words], np.int64)
+    flat = pa.array([w for own in words for w in own], pa.binary()).dictionary_encode()
+    hashed = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in flat.dictionary.to_pylist()), "<u8", len(flat.dictionary))
+    h = hashed[flat.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.empty(0, "<u8")
+    times = [np.uint64(2 * xxhash.xxh64_intdigest(bytes([k]), SEED) + 1 & (1 << 64) - 1) for k in range(size)]
+    padded, summed = np.concatenate([h, np.zeros(size, "<u8")]), np.zeros(len(h), "<u8")
+    for k in range(size):
+        summed += padded[k : k + len(h)] * times[k]
+    out, at = [], 0
+    for n in counts.tolist():
+        if n >= size:
+            own = summed[at : at + n - size + 1]
+        elif n:
+            own = np.array([sum(int(x) * int(t) for x, t in zip(h[at : at + n], times)) + n & (1 << 64) - 1], "<u8")
+        else:
+            own = np.empty(0, "<u8")
+        own = (own ^ own >> np.uint64(29)) * times[0]
+        out.append(np.unique((own ^ own >> np.uint64(32)).view("<i8")))
+        at += n
+    return out
+
+
+def node_of(found: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(found.tobytes(), SEED) - (1 << 63)
+
+
+def fingerprint(found: np.ndarray) -> int:
+    """SimHash of a set, signed: bit i is set if over half of the shingles' hashes have it."""
+    votes = np.unpackbits(found.view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64) if len(found) else np.zeros(64)
+    return int(np.packbits(2 * votes > len(found), bitorder="little").view("<i8")[0])
+
+
+def _seen(size: int):
+    def factory():
+        def work(texts):
+            made = sets_of(texts, size)
+            return [[node_of(s) for s in made], [len(s) for s in made], [fingerprint(s) for s in made]]
 
+        return work
 
-def sketch(found: np.ndarray) -> bytes:
-    """Whether the number of shingles is odd at each of BITS places: two sets differ by at least as many shingles as their sketches by bits."""
-    odd = np.bincount(found.view("<u8") % np.uint64(BITS), minlength=BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
+    return factory
 
 
-def _seen():
-    def work(texts):
-        made = [shingles(t) for t in texts]
-        return [[_node(s.tobytes()) for s in made], [len(s) for s in made], [sketch(s) for s in made]]
+SEEN = [C.field("node", C.LONG), C.field("n", C.INT), C.field("fp", C.LONG)]
 
-    return work
 
+def seen_of(docs: DataFrame, carry, text_col: str, size: int = WORDS) -> DataFrame:
+    """carry, node, number of shingles and fingerprint of each document."""
+    return C.map_texts(docs, carry, C.col(text_col), SEEN, lambda: _seen(size)())
 
-def _sets():
-    def work(texts):
-        made = [shingles(t).tobytes() for t in texts]
-        return [[_node(s) for s in made], made]
 
-    return work
+def _bitmap(nodes: DataFrame) -> np.ndarray:
+    """A bit for each node's place among MAP_BITS: made by Spark in rows of 4 kB, of which at most MAP_BITS / 32768 reach the driver."""
+    at = F.pmod(F.col("node"), F.lit(MAP_BITS)) + 1
+    rows = nodes.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    out = np.zeros((MAP_BITS >> 15, 4096), np.uint8)
+    for r in rows:
+        out[r["k"] - 1] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
 
 
-SEEN = [C.field("node", C.LONG), C.field("n", C.INT), C.field("sketch", T.BinaryType())]
-SETS = [C.field("node", C.LONG), C.field("value", T.BinaryType())]
+def sets_for(texts: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """node and value, the set itself, of each text whose node is, or by chance seems, one of nodes."""
+    shared = texts.sparkSession.sparkContext.broadcast(_bitmap(nodes))
 
+    def run(batches):
+        bits = shared.value
+        for b in batches:
+            for part in C.slices(b):
+                made = [(node_of(s), s) for s in sets_of(part.column(0).to_pylist(), size)]
+                kept = [(n, s.tobytes()) for n, s in made if bits[(n % MAP_BITS) >> 3] >> (n & 7) & 1]
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in kept], pa.int64()), pa.array([s for _, s in kept], pa.binary())], names=["node", "value"])
 
-def sets(texts: DataFrame) -> DataFrame:
-    """node and value, the set itself, of each text; made anew wherever needed, as the sets are larger than the texts."""
-    return C.map_texts(texts, [], F.col("text"), SETS, _sets)
+    return texts.select(F.coalesce("text", F.lit("")).cast("binary")).mapInArrow(run, "node long, value binary")
 
 
 def prefix(found: np.ndarray, last: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -91,16 +138,17 @@ def prefix(found: np.ndarray, last: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return found[: n - (-(-n * SIMILAR[0] // SIMILAR[1])) + 1]
 
 
-def frequent(texts: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
+def frequent(texts: DataFrame, rows: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that the sample holds often, sorted, and their ranks by frequency."""
     every = max(1, rows // SAMPLE)
 
     def run(batches):
         for b in batches:
             for s in C.slices(b):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(s.column(0).to_pylist()), "<i8"))], names=["token"])
+                made = sets_of(s.column(0).to_pylist(), size)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, "<i8"), *made]))], names=["token"])
 
-    picked = sets(texts.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)).dropDuplicates(["node"]).select("value")
+    picked = texts.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select(F.coalesce("text", F.lit("")).cast("binary").alias("text")).distinct()
     counts = picked.mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("df")).where("df > 2")
     top = counts.orderBy(F.desc("df"), "token").limit(FREQUENT).toArrow()
     token, df = top["token"].to_numpy(), top["df"].to_numpy()
@@ -108,16 +156,16 @@ def frequent(texts: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
     return token[by], df[by]
 
 
-def shared(texts: DataFrame, rows: int) -> DataFrame:
+def shared(texts: DataFrame, rows: int, size: int) -> DataFrame:
     """token, node, n, at and first: the places of nodes among the first shingles that others have there too, and the least such node."""
-    order = texts.sparkSession.sparkContext.broadcast(frequent(texts, rows))
+    order = texts.sparkSession.sparkContext.broadcast(frequent(texts, rows, size))
 
     def factory():
         last, rank = order.value
 
         def work(data):
-            made = [shingles(t) for t in data]
-            return [[_node(s.tobytes()) for s in made], [len(s) for s in made], [prefix(s, last, rank) if len(s) else s for s in made]]
+            made = sets_of(data, size)
+            return [[node_of(s) for s in made], [len(s) for s in made], [prefix(s, last, rank) if len(s) else s for s in made]]
 
         return work
 
@@ -136,71 +184,57 @@ def possible(xn, xat, yn, yat):
     return (F.least(xn, yn) * down >= F.greatest(xn, yn) * up) & (most * (up + down) >= (xn + yn) * up)
 
 
-def tested(pairs: DataFrame, values: DataFrame, test: Callable[[bytes, bytes, int, int], bool]) -> DataFrame:
-    """The pairs (a, b, an, bn) whose values pass; values: node and value, repeats allowed.
+def verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """The pairs (a, b) of (a, b, an, bn) whose whole sets are similar.
 
-    Nodes fall into groups of some GROUP nodes, pairs into blocks of two groups; a value goes once to each block that has a pair of its
+    Nodes fall into groups of some GROUP nodes, pairs into blocks of two groups; a set goes once to each block that has a pair of its
     node, however many pairs that are.
     """
+    pairs = pairs.distinct().checkpoint()
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     groups = max(1, needed.count() // GROUP)
     of = lambda c: F.pmod(F.xxhash64(c), F.lit(groups))
     ga, gb = of("a"), of("b")
     placed = pairs.select(F.least(ga, gb).alias("g"), F.greatest(ga, gb).alias("h"), "a", "b", "an", "bn")
     where = placed.select("g", "h", F.col("a").alias("node")).union(placed.select("g", "h", "b")).distinct()
-    once = values.join(needed, "node", "left_semi").groupBy("node").agg(F.first("value").alias("value"))
+    once = sets_for(texts, needed, size).groupBy("node").agg(F.first("value").alias("value"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         value = dict(zip(left["vnode"].to_pylist(), left["value"].to_pylist()))
         rows = zip(*(right[c].to_pylist() for c in ("a", "b", "an", "bn")))
-        return right.select(["a", "b", "an", "bn"]).filter(pa.array([test(value[a], value[b], an, bn) for a, b, an, bn in rows], pa.bool_()))
+        return right.select(["a", "b"]).filter(pa.array([_similar(value[a], value[b], an, bn) for a, b, an, bn in rows], pa.bool_()))
 
     sent = where.join(once, "node").select(F.col("g").alias("vg"), F.col("h").alias("vh"), F.col("node").alias("vnode"), "value")
-    return sent.groupBy("vg", "vh").cogroup(placed.groupBy("g", "h")).applyInArrow(run, "a long, b long, an int, bn int").checkpoint()
-
-
-def _near(x: bytes, y: bytes, xn: int, yn: int) -> bool:
-    up, down = SIMILAR
-    apart = (int.from_bytes(x) ^ int.from_bytes(y)).bit_count()
-    return apart * (up + down) <= (xn + yn) * (down - up)
+    return sent.groupBy("vg", "vh").cogroup(placed.groupBy("g", "h")).applyInArrow(run, "a long, b long").checkpoint()
 
 
 def _similar(x: bytes, y: bytes, xn: int, yn: int) -> bool:
+    up, down = SIMILAR
+    if min(xn, yn) * down < max(xn, yn) * up:
+        return False
     same = len(np.intersect1d(np.frombuffer(x, "<i8"), np.frombuffer(y, "<i8"), assume_unique=True))
-    return same * SIMILAR[1] >= (xn + yn - same) * SIMILAR[0]
+    return same * down >= (xn + yn - same) * up
 
 
-def verified(pairs: DataFrame, seen: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar; sketches, which never rule out a similar pair, are compared first."""
-    close = tested(pairs.distinct().checkpoint(), seen.select("node", F.col("sketch").alias("value")), _near)
-    return tested(close, sets(texts), _similar).select("a", "b")
+def pairs_of(x: str, y: str):
+    low, high = (f(F.struct(f"{x}.node", f"{x}.n"), F.struct(f"{y}.node", f"{y}.n")) for f in (F.least, F.greatest))
+    return [low["node"].alias("a"), high["node"].alias("b"), low["n"].alias("an"), high["n"].alias("bn")]
 
 
-def links(seen: DataFrame, texts: DataFrame) -> DataFrame:
-    """Edges a < b that connect whatever is similar; seen: node, n and sketch of each of texts."""
-    places = shared(texts, seen.count()).checkpoint()
+def links(texts: DataFrame, rows: int, near: DataFrame, components, size: int = WORDS) -> DataFrame:
+    """Edges a < b that connect whatever is similar. texts: text; near: pairs (a, b, an, bn) of nodes that are likely similar;
+    components: a function from edges to (node, root)."""
+    places = shared(texts, rows, size).checkpoint()
     f = F.col("first")
     stars = places.where(F.col("node") > f["node"]).where(possible(F.col("n"), F.col("at"), f["n"], f["at"])).select(f["node"].alias("a"), F.col("node").alias("b"), f["n"].alias("an"), F.col("n").alias("bn"))
-    found = verified(stars, seen, texts)
-    roots = simhash.components(found).withColumnRenamed("node", "__node")
-    known = places.join(roots, F.col("node") == F.col("__node"), "left").select("token", "node", "n", "at", F.coalesce("root", "node").alias("part")).checkpoint()
-    sizes = known.groupBy("token", "part").agg(F.count("*").alias("size"))
-    mixed = sizes.groupBy("token").agg(F.max_by("part", F.struct("size", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("token", "main")
-    here = known.join(mixed, "token")
+    found = verified(stars.union(near), texts, size)
+    roots = components(found).withColumnRenamed("node", "__node")
+    known = places.join(roots, F.col("node") == F.col("__node"), "left").select("token", "node", "n", "at", F.coalesce("root", "node").alias("part"))
+    mixed = known.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("token")
+    here = known.join(mixed, "token", "left_semi").checkpoint()
+    sizes = here.groupBy("token", "part").agg(F.count("*").alias("size")).groupBy("token").agg(F.max_by("part", F.struct("size", "part")).alias("main"))
+    here = here.join(sizes, "token")
     x, y = here.where("part <> main").alias("x"), here.alias("y")
     apart = (F.col("x.part") != F.col("y.part")) & ((F.col("y.part") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
     cross = x.join(y, F.col("x.token") == F.col("y.token")).where(apart & possible(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at")))
-    low, high = (f(F.struct("x.node", "x.n"), F.struct("y.node", "y.n")) for f in (F.least, F.greatest))
-    rest = verified(cross.select(low["node"].alias("a"), high["node"].alias("b"), low["n"].alias("an"), high["n"].alias("bn")), seen, texts)
-    return found.union(rest).distinct()
-
-
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component: that with its smallest id, and of rows that repeat that id one."""
-    C.ensure_checkpoints(docs.sparkSession)
-    seen = C.map_texts(docs, [C.col(id_col).alias("doc_id")], C.col(text_col), SEEN, _seen).checkpoint()
-    ids = seen.groupBy("node").agg(F.min("doc_id").alias("least"))
-    found = simhash.components(links(seen, docs.select(C.col(text_col).alias("text")))).withColumnRenamed("node", "__node")
-    parts = ids.join(found, F.col("node") == F.col("__node"), "left").groupBy(F.coalesce("root", "node").alias("part")).agg(F.min("least").alias("__root"))
-    chosen = docs.join(parts.where("__root is not null").select("__root"), C.col(id_col) == F.col("__root"), "left_semi").dropDuplicates([id_col])
-    return chosen.union(docs.where(C.col(id_col).isNull()))
+    return found.union(verified(cross.select(*pairs_of("x", "y")), texts, size)).distinct()

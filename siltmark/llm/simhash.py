@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
+from . import jaccard
 
 SHINGLE, SEED, DISTANCE, CELL = 3, 42, 2, 64
 EVEN = 0x5555555555555555
@@ -137,15 +138,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return cluster(docs, id_col, text_col, size).select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """docs with one document of each component: that with its smallest id, and of rows that repeat that id one.
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = jaccard.WORDS) -> DataFrame:
+    """docs with one document of each group of near copies: shingles of size words, a Jaccard similarity of jaccard.SIMILAR (0.8) or more.
 
-    Only ids are grouped: the survivors' ids, each component's smallest, come from near_duplicates; their rows by a semi-join.
-    Documents without an id can't be told apart by it; they stay.
+    Fingerprints of the shingle sets are linked as everywhere here and give the first candidates. No distance of 64 bits is exact for a
+    similarity, so that jaccard.links finds the rest and verifies each link on whole sets. A group's row with the smallest id
+    stays, and of rows that repeat id and text one; rows that share an id only are told apart by their text. Documents without an id stay.
     """
-    roots = near_duplicates(docs, id_col, text_col, size).select(F.col("component_id").alias("__root")).where("__root is not null").distinct()
-    chosen = docs.join(roots, C.col(id_col) == F.col("__root"), "left_semi").dropDuplicates([id_col])
-    return chosen.union(docs.where(C.col(id_col).isNull()))
+    C.ensure_checkpoints(docs.sparkSession)
+    key = F.xxhash64(C.col(text_col))
+    seen = jaccard.seen_of(docs, [C.col(id_col).alias("doc_id"), key.alias("h")], text_col, size).checkpoint()
+    nodes = seen.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "h"))).alias("least")).checkpoint()
+    head = nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("x")).select("fp", "x.node", "x.n")
+    same = nodes.alias("x").join(head.alias("y"), F.col("x.fp") == F.col("y.fp")).where("x.node <> y.node")
+    close = links(head.select("fp")).alias("l").join(head.alias("x"), F.col("l.a") == F.col("x.fp")).join(head.alias("y"), F.col("l.b") == F.col("y.fp"))
+    near = same.select(*jaccard.pairs_of("x", "y")).union(close.select(*jaccard.pairs_of("x", "y")))
+    edges = jaccard.links(docs.select(C.col(text_col).cast("string").alias("text")), seen.count(), near, components, size)
+    found = components(edges).withColumnRenamed("node", "__node")
+    parts = nodes.join(found, F.col("node") == F.col("__node"), "left").groupBy(F.coalesce("root", "node").alias("part")).agg(F.min("least").alias("least"))
+    kept = parts.where("least is not null").select(F.col("least.doc_id").alias("__id"), F.col("least.h").alias("__h"))
+    keyed = docs.withColumn("__key", key)
+    chosen = keyed.join(kept, (C.col(id_col) == F.col("__id")) & (F.col("__key") == F.col("__h")), "left_semi").dropDuplicates([id_col, "__key"])
+    return chosen.drop("__key").union(docs.where(C.col(id_col).isNull()))
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

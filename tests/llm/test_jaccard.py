@@ -1,6 +1,6 @@
 import random
 
-from siltmark.llm import jaccard
+from siltmark.llm import simhash
 
 
 def test_near_copies_brute_force(spark):
@@ -33,7 +33,7 @@ def test_near_copies_brute_force(spark):
     for k, (i, _) in enumerate(rows):
         if i is not None:
             least[find(k)] = min(i, least.get(find(k), i))
-    got = [r["doc_id"] for r in jaccard.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    got = [r["doc_id"] for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(x for x in got if x is not None) == sorted(least.values()) and got.count(None) == 1
 
 
