@@ -16,6 +16,8 @@ Defined cases: null, empty and wordless texts have the empty set and are copies
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,6 +34,8 @@ SIMILAR = (4, 5)
 SAMPLE, FREQUENT = 2_000, 100_000
 #: Nodes in a group when pairs are tested; bits of the map of candidates.
 GROUP, MAP_BITS = 4096, 1 << 26
+#: Places of a sketch.
+BITS = 2048
 #: Bytes of text whose shingles are made at once.
 PART = 1 << 20
 
@@ -39,7 +43,7 @@ PART = 1 << 20
 def sets_of(texts: list[bytes], size: int = WORDS) -> list[np.ndarray]:
     """Of each text the hashes of its distinct shingles, sorted.
 
-    Words are hashed once each, a shingle is a sum of its words' hashes times odd numbers, mixed.
+    All by arrays: a shingle is a sum of its words' hashes times odd numbers, mixed.
     """
     out: list[np.ndarray] = []
     begin = held = 0
@@ -51,27 +55,46 @@ def sets_of(texts: list[bytes], size: int = WORDS) -> list[np.ndarray]:
     return out
 
 
+#: A-Z to a-z and white space to blanks.
+PLAIN = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
+_BYTE = np.array([xxhash.xxh64_intdigest(bytes([c]), SEED) for c in range(256)], "<u8")
+_STEP = np.uint64(xxhash.xxh64_intdigest(b"step", SEED) | 5)
+_BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(29)) * _BYTE[1]
+    h = (h ^ h >> np.uint64(32)) * (_BYTE[2] | np.uint64(1))
+    return h ^ h >> np.uint64(29)
+
+
 def _sets_of(texts: list[bytes], size: int) -> list[np.ndarray]:
-    words = [t.lower().split() for t in texts]
-    counts = np.array([len(w) for w in words], np.int64)
-    flat = pa.array([w for own in words for w in own], pa.binary()).dictionary_encode()
-    hashed = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in flat.dictionary.to_pylist()), "<u8", len(flat.dictionary))
-    h = hashed[flat.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.empty(0, "<u8")
-    times = [np.uint64(2 * xxhash.xxh64_intdigest(bytes([k]), SEED) + 1 & (1 << 64) - 1) for k in range(size)]
+    data = np.frombuffer(b" ".join([t.translate(PLAIN) for t in texts]) + b" ", np.uint8)
+    blank = data == 32
+    edge = np.diff(blank, prepend=True)
+    starts, ends = np.flatnonzero(edge & ~blank), np.flatnonzero(edge & blank)
+    # a word's hash: the sum of its bytes' numbers times powers, from differences of running sums
+    run = np.cumsum(_BYTE[data] * np.cumprod(np.full(len(data), _STEP)))
+    down = np.cumprod(np.full(len(data), _BACK))
+    before = np.where(starts > 0, run[starts - 1], np.uint64(0))
+    h = _mixed((run[ends - 1] - before) * down[starts] + (ends - starts).astype("<u8") * _BYTE[3])
+    del run, down
+    lengths = np.array([len(t) for t in texts], np.int64) + 1
+    first = np.searchsorted(starts, np.cumsum(lengths) - lengths)
+    counts = np.diff(np.append(first, len(starts)))
+    times = [_BYTE[4 + k] | np.uint64(1) for k in range(size)]
     padded, summed = np.concatenate([h, np.zeros(size, "<u8")]), np.zeros(len(h), "<u8")
     for k in range(size):
         summed += padded[k : k + len(h)] * times[k]
-    out, at = [], 0
-    for n in counts.tolist():
+    summed, out = _mixed(summed).view("<i8"), []
+    for at, n in zip(first.tolist(), counts.tolist()):
         if n >= size:
-            own = summed[at : at + n - size + 1]
+            out.append(np.unique(summed[at : at + n - size + 1]))
         elif n:
-            own = np.array([sum(int(x) * int(t) for x, t in zip(h[at : at + n], times)) + n & (1 << 64) - 1], "<u8")
+            own = sum(int(x) * int(t) for x, t in zip(h[at : at + n], times)) + n
+            out.append(_mixed(np.array([own & (1 << 64) - 1], "<u8")).view("<i8"))
         else:
-            own = np.empty(0, "<u8")
-        own = (own ^ own >> np.uint64(29)) * times[0]
-        out.append(np.unique((own ^ own >> np.uint64(32)).view("<i8")))
-        at += n
+            out.append(np.empty(0, "<i8"))
     return out
 
 
@@ -85,23 +108,26 @@ def fingerprint(found: np.ndarray) -> int:
     return int(np.packbits(2 * votes > len(found), bitorder="little").view("<i8")[0])
 
 
-def _seen(size: int):
-    def factory():
-        def work(texts):
-            made = sets_of(texts, size)
-            return [[node_of(s) for s in made], [len(s) for s in made], [fingerprint(s) for s in made]]
+def sketch(found: np.ndarray) -> bytes:
+    """Whether the number of shingles is odd at each of BITS places: two sets differ by at least as many shingles as their sketches by bits."""
+    odd = np.bincount(found.view("<u8") % np.uint64(BITS), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
 
-        return work
 
-    return factory
+SEEN = [C.field("node", C.LONG), C.field("n", C.INT), C.field("fp", C.LONG), C.field("sketch", T.BinaryType())]
 
 
-SEEN = [C.field("node", C.LONG), C.field("n", C.INT), C.field("fp", C.LONG)]
+def seen_of(docs: DataFrame, carry, text_col: str, size: int = WORDS) -> DataFrame:
+    """carry, node, number of shingles, fingerprint and sketch of each document."""
 
+    def factory():
+        def work(texts):
+            made = sets_of(texts, size)
+            return [[node_of(s) for s in made], [len(s) for s in made], [fingerprint(s) for s in made], [sketch(s) for s in made]]
 
-def seen_of(docs: DataFrame, carry, text_col: str, size: int = WORDS) -> DataFrame:
-    """carry, node, number of shingles and fingerprint of each document."""
-    return C.map_texts(docs, carry, C.col(text_col), SEEN, lambda: _seen(size)())
+        return work
+
+    return C.map_texts(docs, carry, C.col(text_col), SEEN, factory)
 
 
 def _bitmap(nodes: DataFrame) -> np.ndarray:
@@ -184,34 +210,43 @@ def possible(xn, xat, yn, yat):
     return (F.least(xn, yn) * down >= F.greatest(xn, yn) * up) & (most * (up + down) >= (xn + yn) * up)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """The pairs (a, b) of (a, b, an, bn) whose whole sets are similar.
+def tested(pairs: DataFrame, values_for: Callable[[DataFrame], DataFrame], test: Callable[[bytes, bytes, int, int], bool]) -> DataFrame:
+    """The pairs (a, b, an, bn) whose values pass; values_for: from nodes to (node, value), more nodes and repeats allowed.
 
-    Nodes fall into groups of some GROUP nodes, pairs into blocks of two groups; a set goes once to each block that has a pair of its
+    Nodes fall into groups of some GROUP nodes, pairs into blocks of two groups; a value goes once to each block that has a pair of its
     node, however many pairs that are.
     """
-    pairs = pairs.distinct().checkpoint()
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     groups = max(1, needed.count() // GROUP)
     of = lambda c: F.pmod(F.xxhash64(c), F.lit(groups))
     ga, gb = of("a"), of("b")
     placed = pairs.select(F.least(ga, gb).alias("g"), F.greatest(ga, gb).alias("h"), "a", "b", "an", "bn")
     where = placed.select("g", "h", F.col("a").alias("node")).union(placed.select("g", "h", "b")).distinct()
-    once = sets_for(texts, needed, size).groupBy("node").agg(F.first("value").alias("value"))
+    once = values_for(needed).groupBy("node").agg(F.first("value").alias("value"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         value = dict(zip(left["vnode"].to_pylist(), left["value"].to_pylist()))
         rows = zip(*(right[c].to_pylist() for c in ("a", "b", "an", "bn")))
-        return right.select(["a", "b"]).filter(pa.array([_similar(value[a], value[b], an, bn) for a, b, an, bn in rows], pa.bool_()))
+        return right.select(["a", "b", "an", "bn"]).filter(pa.array([test(value[a], value[b], an, bn) for a, b, an, bn in rows], pa.bool_()))
 
     sent = where.join(once, "node").select(F.col("g").alias("vg"), F.col("h").alias("vh"), F.col("node").alias("vnode"), "value")
-    return sent.groupBy("vg", "vh").cogroup(placed.groupBy("g", "h")).applyInArrow(run, "a long, b long").checkpoint()
+    return sent.groupBy("vg", "vh").cogroup(placed.groupBy("g", "h")).applyInArrow(run, "a long, b long, an int, bn int").checkpoint()
+
+
+def verified(pairs: DataFrame, seen: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar; sketches, which never rule out a similar pair, are compared first."""
+    close = tested(pairs.distinct().checkpoint(), lambda nodes: seen.select("node", F.col("sketch").alias("value")).join(nodes, "node", "left_semi"), _near)
+    return tested(close, lambda nodes: sets_for(texts, nodes, size), _similar).select("a", "b")
+
+
+def _near(x: bytes, y: bytes, xn: int, yn: int) -> bool:
+    up, down = SIMILAR
+    apart = (int.from_bytes(x) ^ int.from_bytes(y)).bit_count()
+    return min(xn, yn) * down >= max(xn, yn) * up and apart * (up + down) <= (xn + yn) * (down - up)
 
 
 def _similar(x: bytes, y: bytes, xn: int, yn: int) -> bool:
     up, down = SIMILAR
-    if min(xn, yn) * down < max(xn, yn) * up:
-        return False
     same = len(np.intersect1d(np.frombuffer(x, "<i8"), np.frombuffer(y, "<i8"), assume_unique=True))
     return same * down >= (xn + yn - same) * up
 
@@ -221,13 +256,13 @@ def pairs_of(x: str, y: str):
     return [low["node"].alias("a"), high["node"].alias("b"), low["n"].alias("an"), high["n"].alias("bn")]
 
 
-def links(texts: DataFrame, rows: int, near: DataFrame, components, size: int = WORDS) -> DataFrame:
-    """Edges a < b that connect whatever is similar. texts: text; near: pairs (a, b, an, bn) of nodes that are likely similar;
+def links(seen: DataFrame, texts: DataFrame, near: DataFrame, components, size: int = WORDS) -> DataFrame:
+    """Edges a < b that connect whatever is similar. seen: node and sketch of each of texts (text); near: pairs (a, b, an, bn) of nodes that are likely similar;
     components: a function from edges to (node, root)."""
-    places = shared(texts, rows, size).checkpoint()
+    places = shared(texts, seen.count(), size).checkpoint()
     f = F.col("first")
     stars = places.where(F.col("node") > f["node"]).where(possible(F.col("n"), F.col("at"), f["n"], f["at"])).select(f["node"].alias("a"), F.col("node").alias("b"), f["n"].alias("an"), F.col("n").alias("bn"))
-    found = verified(stars.union(near), texts, size)
+    found = verified(stars.union(near), seen, texts, size)
     roots = components(found).withColumnRenamed("node", "__node")
     known = places.join(roots, F.col("node") == F.col("__node"), "left").select("token", "node", "n", "at", F.coalesce("root", "node").alias("part"))
     mixed = known.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("token")
@@ -237,4 +272,4 @@ def links(texts: DataFrame, rows: int, near: DataFrame, components, size: int =
     x, y = here.where("part <> main").alias("x"), here.alias("y")
     apart = (F.col("x.part") != F.col("y.part")) & ((F.col("y.part") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
     cross = x.join(y, F.col("x.token") == F.col("y.token")).where(apart & possible(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at")))
-    return found.union(verified(cross.select(*pairs_of("x", "y")), texts, size)).distinct()
+    return found.union(verified(cross.select(*pairs_of("x", "y")), seen, texts, size)).distinct()

@@ -153,7 +153,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same = nodes.alias("x").join(head.alias("y"), F.col("x.fp") == F.col("y.fp")).where("x.node <> y.node")
     close = links(head.select("fp")).alias("l").join(head.alias("x"), F.col("l.a") == F.col("x.fp")).join(head.alias("y"), F.col("l.b") == F.col("y.fp"))
     near = same.select(*jaccard.pairs_of("x", "y")).union(close.select(*jaccard.pairs_of("x", "y")))
-    edges = jaccard.links(docs.select(C.col(text_col).cast("string").alias("text")), seen.count(), near, components, size)
+    edges = jaccard.links(seen, docs.select(C.col(text_col).cast("string").alias("text")), near, components, size)
     found = components(edges).withColumnRenamed("node", "__node")
     parts = nodes.join(found, F.col("node") == F.col("__node"), "left").groupBy(F.coalesce("root", "node").alias("part")).agg(F.min("least").alias("least"))
     kept = parts.where("least is not null").select(F.col("least.doc_id").alias("__id"), F.col("least.h").alias("__h"))
