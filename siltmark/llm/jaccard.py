@@ -30,8 +30,8 @@ from . import common as C
 WORDS, SEED = 5, 42
 #: Similarity as a fraction, so that the limit itself is exact.
 SIMILAR = (4, 5)
-#: Documents that the order of shingles is taken from, and shingles that it puts last.
-SAMPLE, FREQUENT = 2_000, 100_000
+#: Of so many documents the order of shingles is taken from one; how many shingles it puts last.
+SHARE, FREQUENT = 16, 100_000
 #: Nodes in a group when pairs are tested; bits of the map of candidates.
 GROUP, MAP_BITS = 4096, 1 << 26
 #: Places of a sketch.
@@ -130,19 +130,32 @@ def seen_of(docs: DataFrame, carry, text_col: str, size: int = WORDS) -> DataFra
     return C.map_texts(docs, carry, C.col(text_col), SEEN, factory)
 
 
-def _bitmap(nodes: DataFrame) -> np.ndarray:
-    """A bit for each node's place among MAP_BITS: made by Spark in rows of 4 kB, of which at most MAP_BITS / 32768 reach the driver."""
-    at = F.pmod(F.col("node"), F.lit(MAP_BITS)) + 1
-    rows = nodes.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+def bitmap(keys: DataFrame) -> DataFrame:
+    """(k, bits): for each key a bit at its place among MAP_BITS, in at most MAP_BITS / 32768 rows of 4 kB."""
+    at = F.pmod(F.col(keys.columns[0]), F.lit(MAP_BITS)) + 1
+    return keys.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+
+
+def marked(rows: DataFrame, key: str, bits: DataFrame) -> DataFrame:
+    """rows with __marked: false only if the key is none of those that the bitmap was made from."""
+    place = F.pmod(F.col(key), F.lit(MAP_BITS))
+    known = bits.select((F.col("k") - 1).alias("__k"), F.col("bits").alias("__bits"))
+    one = F.substring("__bits", F.pmod(F.shiftright(place, 3), F.lit(4096)).cast("int") + 1, F.lit(1))
+    bit = F.conv(F.hex(one), 16, 10).cast("int").bitwiseAND(F.call_function("shiftleft", F.lit(1), F.pmod(place, F.lit(8)).cast("int"))) != 0
+    met = rows.join(F.broadcast(known), F.shiftright(place, 15) == F.col("__k"), "left")
+    return met.withColumn("__marked", F.coalesce(bit, F.lit(False))).drop("__k", "__bits")
+
+
+def _bits(keys: DataFrame) -> np.ndarray:
     out = np.zeros((MAP_BITS >> 15, 4096), np.uint8)
-    for r in rows:
+    for r in bitmap(keys).collect():
         out[r["k"] - 1] = np.frombuffer(r["bits"], np.uint8)
     return out.ravel()
 
 
 def sets_for(texts: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     """node and value, the set itself, of each text whose node is, or by chance seems, one of nodes."""
-    shared = texts.sparkSession.sparkContext.broadcast(_bitmap(nodes))
+    shared = texts.sparkSession.sparkContext.broadcast(_bits(nodes))
 
     def run(batches):
         bits = shared.value
@@ -164,17 +177,15 @@ def prefix(found: np.ndarray, last: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return found[: n - (-(-n * SIMILAR[0] // SIMILAR[1])) + 1]
 
 
-def frequent(texts: DataFrame, rows: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+def frequent(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that the sample holds often, sorted, and their ranks by frequency."""
-    every = max(1, rows // SAMPLE)
-
     def run(batches):
         for b in batches:
             for s in C.slices(b):
                 made = sets_of(s.column(0).to_pylist(), size)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, "<i8"), *made]))], names=["token"])
 
-    picked = texts.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select(F.coalesce("text", F.lit("")).cast("binary").alias("text")).distinct()
+    picked = texts.where(F.pmod(F.xxhash64("text"), F.lit(SHARE)) == 0).select(F.coalesce("text", F.lit("")).cast("binary").alias("text")).distinct()
     counts = picked.mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("df")).where("df > 2")
     top = counts.orderBy(F.desc("df"), "token").limit(FREQUENT).toArrow()
     token, df = top["token"].to_numpy(), top["df"].to_numpy()
@@ -182,9 +193,9 @@ def frequent(texts: DataFrame, rows: int, size: int) -> tuple[np.ndarray, np.nda
     return token[by], df[by]
 
 
-def shared(texts: DataFrame, rows: int, size: int) -> DataFrame:
+def shared(texts: DataFrame, size: int) -> DataFrame:
     """token, node, n, at and first: the places of nodes among the first shingles that others have there too, and the least such node."""
-    order = texts.sparkSession.sparkContext.broadcast(frequent(texts, rows, size))
+    order = texts.sparkSession.sparkContext.broadcast(frequent(texts, size))
 
     def factory():
         last, rank = order.value
@@ -259,7 +270,7 @@ def pairs_of(x: str, y: str):
 def links(seen: DataFrame, texts: DataFrame, near: DataFrame, components, size: int = WORDS) -> DataFrame:
     """Edges a < b that connect whatever is similar. seen: node and sketch of each of texts (text); near: pairs (a, b, an, bn) of nodes that are likely similar;
     components: a function from edges to (node, root)."""
-    places = shared(texts, seen.count(), size).checkpoint()
+    places = shared(texts, size).checkpoint()
     f = F.col("first")
     stars = places.where(F.col("node") > f["node"]).where(possible(F.col("n"), F.col("at"), f["n"], f["at"])).select(f["node"].alias("a"), F.col("node").alias("b"), f["n"].alias("an"), F.col("n").alias("bn"))
     found = verified(stars.union(near), seen, texts, size)

@@ -37,8 +37,8 @@ from pyspark.sql import types as T
 from . import common as C
 
 MODEL = os.environ.get("SILTMARK_TOKENIZERS", "/opt/tokenizers") + "/piece_bpe_32k.model"
-#: Bytes of text in a chunk and in the pieces of it that Python works on at once; characters of a unit that is folded.
-CHUNK, PART, LONGEST = 32 << 20, 1 << 20, 1024
+#: Bytes of text in a chunk and in its parts, and parts that Python works on at once; characters of a unit that is folded.
+CHUNK, PART, AT_ONCE, LONGEST = 32 << 20, 1 << 20, 6, 1024
 BLANK = "▁"
 
 
@@ -209,6 +209,7 @@ def chunk_units(docs: DataFrame, text_col: str, vocabulary: Vocabulary) -> DataF
                 seen = [pc.unique(pa.concat_arrays(seen))]
         if seen:
             yield from done()
+        pa.default_memory_pool().release_unused()
 
     return docs.select(_utf8(text_col), _partition()).mapInArrow(run, "chunk long, unit string")
 
@@ -357,7 +358,7 @@ def pack(batch: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def unpack(data: bytes) -> pa.RecordBatch:
+def unpack(data: pa.Buffer) -> pa.RecordBatch:
     return next(iter(pa.ipc.open_stream(data, options=pa.ipc.IpcReadOptions(use_threads=False))))
 
 
@@ -384,8 +385,11 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, carry, text_col: str = "text
         now, known, parts = None, [], []
 
         def done():
-            """Rows of a chunk; parts: its texts, packed, with their units."""
-            book = Book(known, v, [units for _, units, _ in parts])
+            """Rows of some texts of a chunk; parts: texts, packed, with their units."""
+            if not parts:
+                return
+            known[:] = [Book.joined(known)]
+            book = Book(known[0], v, [units for _, units, _ in parts])
             for data, units, after in parts:
                 part = unpack(data)
                 ids, ends = book.encode(units, after)
@@ -396,15 +400,20 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, carry, text_col: str = "text
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(last)), *made], names=names)
 
         for b in batches:
-            for chunk, kind, data in zip(*(b.column(i).to_pylist() for i in range(3))):
+            for chunk, kind, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                data = packed.as_buffer()
                 if chunk != now:
                     yield from done()
                     now, known, parts = chunk, [], []
+                    pa.default_memory_pool().release_unused()
                 if kind == 0:
                     known.append(unpack(data))
                 else:
                     units, after = cutter.units(_texts(unpack(data).column(last)))
                     parts.append((data, units.dictionary_encode(), after))
+                    if len(parts) >= AT_ONCE:
+                        yield from done()
+                        parts.clear()
         yield from done()
 
     return both.select("chunk", "kind", "packed").mapInArrow(run, T.StructType(fields))
@@ -413,10 +422,15 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, carry, text_col: str = "text
 class Book:
     """The dictionary of a chunk, whose texts are made of these units (dictionary-encoded)."""
 
-    def __init__(self, known: list[pa.RecordBatch], vocabulary: Vocabulary, coded: list[pa.DictionaryArray]):
-        wanted = pa.concat_arrays([x.dictionary for x in coded]) if coded else pa.array([], pa.string())
-        units = pa.concat_arrays([x.column(0) for x in known]) if known else pa.array([], pa.string())
-        ids = pa.concat_arrays([x.column(1).cast(pa.list_(pa.int32())) for x in known]) if known else pa.array([], pa.list_(pa.int32()))
+    @staticmethod
+    def joined(known: list[pa.RecordBatch]) -> pa.RecordBatch:
+        kinds = [pa.string(), pa.list_(pa.int32())]
+        columns = [pa.concat_arrays([x.column(i).cast(t) for x in known]) if known else pa.array([], t) for i, t in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays(columns, names=["unit", "ids"])
+
+    def __init__(self, known: pa.RecordBatch, vocabulary: Vocabulary, coded: list[pa.DictionaryArray]):
+        units, ids = known.columns
+        wanted = pa.concat_arrays([x.dictionary for x in coded])
         place = pc.index_in(wanted, units)
         if place.null_count:
             missing = pc.unique(wanted.filter(pc.is_null(place)))

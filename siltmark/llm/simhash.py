@@ -156,10 +156,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     edges = jaccard.links(seen, docs.select(C.col(text_col).cast("string").alias("text")), near, components, size)
     found = components(edges).withColumnRenamed("node", "__node")
     parts = nodes.join(found, F.col("node") == F.col("__node"), "left").groupBy(F.coalesce("root", "node").alias("part")).agg(F.min("least").alias("least"))
-    kept = parts.where("least is not null").select(F.col("least.doc_id").alias("__id"), F.col("least.h").alias("__h"))
-    keyed = docs.withColumn("__key", key)
-    chosen = keyed.join(kept, (C.col(id_col) == F.col("__id")) & (F.col("__key") == F.col("__h")), "left_semi").dropDuplicates([id_col, "__key"])
-    return chosen.drop("__key").union(docs.where(C.col(id_col).isNull()))
+    kept = parts.where("least is not null").select(F.col("least.doc_id").alias("__id"), F.col("least.h").alias("__h")).checkpoint()
+    # rows that may go: only these are joined, the others are passed on where they are
+    rows = seen.where("doc_id is not null").groupBy("doc_id", "h").agg(F.count("*").alias("times"))
+    going = rows.join(kept, (F.col("doc_id") == F.col("__id")) & (F.col("h") == F.col("__h")), "left").where("__id is null or times > 1").select("h")
+    keyed = jaccard.marked(docs.withColumn("__key", key), "__key", jaccard.bitmap(going).checkpoint())
+    known = C.col(id_col).isNull() | ~F.col("__marked")
+    again = keyed.where(~known).join(kept, (C.col(id_col) == F.col("__id")) & (F.col("__key") == F.col("__h")), "left_semi").dropDuplicates([id_col, "__key"])
+    return keyed.where(known).union(again).select(*[C.col(c) for c in docs.columns])
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,3 +46,12 @@ def test_pipeline_stage_drops_near_copies(spark):
     far = [w if k % 20 else f"new{k}" for k, w in enumerate(base)]
     docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far))], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()) == [1, 3]
+
+
+def test_rows_that_repeat_an_id(spark):
+    text = lambda seed: " ".join(f"w{random.Random(seed * 1000 + k).randrange(9000)}" for k in range(60))
+    rows = [(1, text(1), "x"), (1, text(2), "x"), (2, text(1), "y"), (3, text(3), "x"), (3, text(3), "x"), (None, text(3), "z"), (4, None, "x"), (5, "", "x"), (None, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    got = sorted(map(str, simhash.deduplicate(docs).collect()))
+    assert len(got) == 6 and sum("doc_id=1," in r for r in got) == 2 and sum("doc_id=None" in r for r in got) == 2
+    assert simhash.deduplicate(docs.limit(0)).count() == 0
