@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Bytes of a log block and of a record header; the reflected polynomial of CRC-32C.
 BLOCK, HEADER, POLYNOMIAL = 32768, 7, 0x82F63B78
@@ -56,6 +54,61 @@ def record_bytes(payload: Column) -> Column:
     return payload + HEADER * F.greatest(F.lit(1), F.ceil(payload / F.lit(BLOCK - HEADER))).cast("long")
 
 
+def fragments(length: Column) -> Column:
+    """How a payload of so many bytes lies in a log from a block's start: structs (part, type, bytes)."""
+    room = BLOCK - HEADER
+    n = F.greatest(F.lit(1), F.ceil(length / F.lit(room))).cast("int")
+    return F.transform(
+        F.sequence(F.lit(1), n),
+        lambda i: F.struct(
+            i.alias("part"),
+            F.when(n == 1, "full").when(i == 1, "first").when(i == n, "last").otherwise("middle").alias("type"),
+            F.least(F.lit(room).cast("long"), length - (i - 1) * room).cast("long").alias("bytes"),
+        ),
+    )
+
+
+#: Numbers of the record types in a header.
+TYPES = {1: "full", 2: "first", 3: "middle", 4: "last"}
+
+
+def record_type(number: Column) -> Column:
+    """The name of a record type, illegal for any other number."""
+    out = F.lit("illegal")
+    for k, name in TYPES.items():
+        out = F.when(number == k, F.lit(name)).otherwise(out)
+    return out
+
+
+def value_bytes(op: Column, value: Column) -> Column:
+    """Bytes of a stored value."""
+    return F.when(op == "DEL", F.lit(1)).otherwise(F.octet_length(value) + 1).cast("long")
+
+
+def stored_error(stored: Column) -> Column:
+    """Why hex of a stored value can't be decoded; null if it can."""
+    return F.when(F.coalesce(F.length(stored), F.lit(0)) < 2, F.lit("empty")).when(~F.substring(stored, 1, 2).isin("00", "01"), F.lit("unknown tag"))
+
+
+def manifest_entry_bytes(lo: Column, hi: Column) -> Column:
+    """Bytes of a run in a native manifest: 28 and those of its range's ends; a whole manifest has 8, and 4 before each entry."""
+    return (F.lit(28) + F.octet_length(lo) + F.octet_length(hi)).cast("long")
+
+
+def _turned(text: Column, width: int) -> Column:
+    return F.concat(*[F.substring(text, 2 * k + 1, 2) for k in reversed(range(width))])
+
+
+def little_endian(n: Column, width: int = 8) -> Column:
+    """Hex of a whole number from 0 on in so many bytes, the lowest first."""
+    return _turned(F.lpad(F.hex(n), 2 * width, "0"), width)
+
+
+def from_little_endian(text: Column, width: int = 8) -> Column:
+    """Inverse of little_endian, unsigned."""
+    return F.conv(_turned(text, width), 16, 10).cast("decimal(20,0)")
+
+
 def _crc_table() -> list[int]:
     out = []
     for n in range(256):
@@ -75,7 +128,14 @@ def crc32c_bytes(data: bytes) -> int:
     return c ^ 0xFFFFFFFF
 
 
-@F.pandas_udf(T.LongType())
-def crc32c(data: pd.Series) -> pd.Series:
-    """CRC-32C of a string's UTF-8; the built-in crc32 has another polynomial."""
-    return data.map(lambda s: None if s is None else crc32c_bytes(s.encode() if isinstance(s, str) else bytes(s)))
+def crc32c(data: Column) -> Column:
+    """CRC-32C of a string's UTF-8 or of bytes, by table in a fold; the built-in crc32 has another polynomial."""
+    table = F.array(*[F.lit(x).cast("long") for x in _TABLE])
+    coded = F.hex(data.cast("binary"))
+    places = F.when(F.length(coded) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.greatest(F.length(coded) / 2, F.lit(1)).cast("int") - 1))
+
+    def step(c: Column, i: Column) -> Column:
+        b = F.conv(F.substring(coded, 2 * i + 1, F.lit(2)), 16, 10).cast("long")
+        return F.get(table, c.bitwiseXOR(b).bitwiseAND(F.lit(255)).cast("int")).bitwiseXOR(F.shiftright(c, 8))
+
+    return F.aggregate(places, F.lit(0xFFFFFFFF).cast("long"), step, lambda c: c.bitwiseXOR(F.lit(0xFFFFFFFF)))

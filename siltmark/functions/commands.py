@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import codecs
+from . import codecs, frames
 
 VERB = r"^([A-Za-z]+)\s+"
 TOKEN = r""""(?:[^"\\]|\\["nrt\\])*"|'(?:[^'\\]|\\['\\])*'|[^\s"']+"""
@@ -75,7 +75,8 @@ def encode(commands: DataFrame) -> DataFrame:
     return commands.withColumn("frame", codecs.resp_array(parts))
 
 
-def printed(reply: DataFrame) -> DataFrame:
-    """Adds shown: what a terminal prints; (nil) for a miss and 1 for a write."""
-    shown = F.when(F.col("verb") == "GET", F.coalesce("value", F.lit("(nil)"))).when(F.col("verb").isin("SET", "DEL"), F.lit("1")).otherwise(F.col("reply"))
-    return reply.withColumn("shown", shown)
+def printed(answered: DataFrame) -> DataFrame:
+    """Adds shown: what a terminal prints; (nil) for a miss, 1 for a write, and a PING's message."""
+    message = frames.reply(F.col("verb"), F.col("reply"))["value"]
+    shown = F.when(F.col("verb") == "GET", F.coalesce("value", F.lit("(nil)"))).when(F.col("verb").isin("SET", "DEL"), F.lit("1")).otherwise(message)
+    return answered.withColumn("shown", shown)

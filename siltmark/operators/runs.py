@@ -41,17 +41,48 @@ def first_hit(runs: DataFrame, keys: DataFrame) -> DataFrame:
     return best.select("key", "w.level", "w.run", "w.op", "w.value")
 
 
+def key_order(lo: Column, hi: Column, key: Column) -> Column:
+    """1 if the range lies after the key, -1 if before, 0 if it holds it."""
+    return F.when(key < lo, 1).when(key > hi, -1).otherwise(0)
+
+
+def is_empty(lo: Column, hi: Column) -> Column:
+    """A range with an empty end is none."""
+    return (F.coalesce(F.octet_length(lo), F.lit(0)) == 0) | (F.coalesce(F.octet_length(hi), F.lit(0)) == 0)
+
+
+def cover(lo: Column, hi: Column, other_lo: Column, other_hi: Column) -> Column:
+    """The least range over both if they overlap or the first is empty; otherwise the first as it is."""
+    meets = (lo <= other_hi) & (hi >= other_lo)
+    return (
+        F.when(is_empty(lo, hi), F.struct(other_lo.alias("lo"), other_hi.alias("hi")))
+        .when(meets, F.struct(F.least(lo, other_lo).alias("lo"), F.greatest(hi, other_hi).alias("hi")))
+        .otherwise(F.struct(lo.alias("lo"), hi.alias("hi")))
+    )
+
+
+#: Places in the order of begins that a list holds when pairs are made.
+STEP = 256
+
+
 def overlap_pairs(manifest: DataFrame) -> DataFrame:
-    """Pairs of runs whose ranges share a key.
+    """Pairs of runs whose ranges share a key. The result itself may be quadratic.
 
-    The result itself may be quadratic. Each pair is found where the later of the two begins, by an equi-join on
-    islands, so that runs that cannot meet are never compared.
+    Two ranges meet exactly if the later begins within the earlier. Ranges are numbered by their begins, so that those which begin within
+    a range have neighbouring numbers, from its own up to a number found by counting begins; each range goes to every list of STEP
+    numbers that it reaches, and only in lists that it reaches it is compared. Only a manifest passes through the ordered windows.
     """
-    marked = islands(manifest)
-    a = marked.select("island", F.col("run").alias("a_run"), F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"))
-    b = marked.select("island", F.col("run").alias("b_run"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"))
-    meets = (F.col("a_run") < F.col("b_run")) & (F.col("a_lo") <= F.col("b_hi")) & (F.col("a_hi") >= F.col("b_lo"))
-    return a.join(b, "island").where(meets).select("a_run", "b_run")
+    order = Window.orderBy("lo", "hi", "run")
+    # begins and ends in one order: an end has seen the begins up to it
+    begins = manifest.select(F.col("lo").alias("at"), F.lit(0).alias("kind"), "run", "lo", "hi")
+    ends = manifest.select(F.col("hi").alias("at"), F.lit(1).alias("kind"), "run", "lo", "hi")
+    seen = begins.unionByName(ends).withColumn("upto", F.sum(1 - F.col("kind")).over(Window.orderBy("at", "kind").rangeBetween(Window.unboundedPreceding, 0)))
+    reach = seen.where("kind = 1").select("run", "upto")
+    numbered = manifest.select("run", "lo", "hi", F.row_number().over(order).alias("no")).join(reach, "run")
+    spread = numbered.select("run", "no", "upto", F.explode(F.sequence(F.floor(F.col("no") / STEP), F.floor(F.col("upto") / STEP))).alias("list"))
+    later = numbered.select(F.col("run").alias("b"), F.col("no").alias("b_no"), F.floor(F.col("no") / STEP).alias("list"))
+    met = spread.join(later, "list").where("b_no > no and b_no <= upto")
+    return met.select(F.least("run", "b").alias("a_run"), F.greatest("run", "b").alias("b_run"))
 
 
 def islands(manifest: DataFrame) -> DataFrame:

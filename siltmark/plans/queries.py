@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import codecs, commands
+from ..functions import codecs, commands, frames
 from ..operators import compaction, runs, state
 from ..sources import mutations as M
+from ..sources import records
+from ..store import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -114,10 +117,69 @@ query("overlap_closure_all", None)(lambda s, d: runs.closure(all_spans(s, d), al
 UPPER = f"with {EV}, {RUNS}, {LEVELS}, w as (select key, op, value, seq from (select *, row_number() over (partition by key order by level, run desc) rn from v WHERE) where rn = 1) select * from w"
 query("compact_keep_tombstones", UPPER.replace("WHERE", "where level < 2"))(lambda s, d: compaction.merge(levelled(s, d).where("level < 2"), False))
 query("compact_drop_tombstones", UPPER.replace("WHERE", "") + " where op <> 'DEL'")(lambda s, d: compaction.merge(levelled(s, d), True))
+#: Runs of 250 events in turn at four levels, their ranges those of the event numbers and 100 more, so that neighbours overlap.
+STAIRS = "t as (select cast(floor(event_id / 250) as bigint) as run, cast(floor(event_id / 250) as bigint) % 4 as level, min(event_id) as lo, max(event_id) + 100 as hi from events group by 1, 2)"
+
+
+def stairs(spark, d):
+    run = F.floor(F.col("event_id") / 250).cast("long")
+    return M.table(spark, d, "events").groupBy(run.alias("run"), (run % 4).alias("level")).agg(F.min("event_id").alias("lo"), (F.max("event_id") + 100).alias("hi"))
+
+
+query("compaction_candidates", f"with {STAIRS} select level, count(*) as runs from t group by level having (level = 0 and count(*) >= 4) or count(*) >= 10")(lambda s, d: compaction.candidates(stairs(s, d)))
+for _level in range(4):
+    # at level 0 of these runs nothing overlaps within the level, so that a seed stands alone
+    query(
+        f"compaction_inputs_level{_level}",
+        f"with {STAIRS}, s as (select *, (select count(*) from t h where h.level = {_level + 1} and h.lo <= t.hi and h.hi >= t.lo) as more from t where level = {_level}), "
+        "c as (select * from s where more > 0 order by run limit 1), p as (select * from c union all select * from (select * from s order by run limit 3) where (select count(*) from c) = 0), "
+        f"w as (select min(lo) as lo, max(hi) as hi from p) select {_level} as level, run from p union all select {_level + 1} as level, t.run from t, w where t.level = {_level + 1} and t.lo <= w.hi and t.hi >= w.lo",
+    )(lambda s, d, level=_level: compaction.inputs(stairs(s, d), level))
+query(
+    "compaction_split",
+    f"with {OD}, {LAST}, z as (select key, octet_length(encode(key)) + 8 as size from l), y as (select key, size, cast(floor((sum(size) over (order by key) - size) / 2048) as bigint) as piece from z) "
+    "select piece, min(key) as lo, max(key) as hi, count(*) as n, cast(sum(size) as bigint) as bytes from y group by piece",
+)(
+    lambda s, d: compaction.size_split(state.latest(orders(s, d)).select("key", (F.octet_length("key") + 8).cast("long").alias("size")), "size", 2048)
+    .groupBy("piece").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n"), F.sum("size").alias("bytes"))
+)
+
+
+def store_state(spark, d):
+    """The state of a store after its runs are flushed, compacted and cleaned up; it lies in the warehouse, which a cluster shares."""
+    store = Store(spark, f"{spark.conf.get('spark.sql.warehouse.dir')}/store-{uuid.uuid4().hex}")
+    log = events(spark, d)
+    for part in range(4):
+        store.write(log.where(F.col("seq") % 4 == part).select("seq", "key", "op", "value"))
+        store.flush()
+    store.compact_due()
+    store.gc()
+    return store.state().select("key", F.col("value").cast("double").alias("value"))
+
+
+# four batches, each in its own order, the later over the earlier
+query(
+    "store_state",
+    f"with {EV}, b as (select *, seq % 4 as part from m), x as (select *, row_number() over (partition by key order by part desc, seq desc) as rn from b) select key, value from x where rn = 1 and op = 'SET'",
+)(store_state)
+RANGES = "g as (select o_custkey as run, min(cast(o_orderkey as varchar)) as lo, max(cast(o_orderkey as varchar)) as hi from orders group by 1)"
+
+
+def order_ranges(spark, d):
+    key = F.col("o_orderkey").cast("string")
+    return M.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("run")).agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+
+
+query("range_key_order", f"with {RANGES} select run, case when '5000' < lo then 1 when '5000' > hi then -1 else 0 end as side, lo = '' or hi = '' as empty from g")(
+    lambda s, d: order_ranges(s, d).select("run", runs.key_order(F.col("lo"), F.col("hi"), F.lit("5000")).alias("side"), runs.is_empty(F.col("lo"), F.col("hi")).alias("empty"))
+)
 query(
-    "compaction_candidates",
-    f"with {EV}, {RUNS}, {LEVELS} select level, count(distinct run) runs from v group by level having (level = 0 and count(distinct run) >= 4) or count(distinct run) >= 10",
-)(lambda s, d: compaction.candidates(levelled(s, d).select("level", "run").distinct()))
+    "range_cover",
+    f"with {RANGES} select run, case when lo <= '5' and hi >= '3' then least(lo, '3') else lo end as lo, case when lo <= '5' and hi >= '3' then greatest(hi, '5') else hi end as hi from g",
+)(lambda s, d: order_ranges(s, d).select("run", runs.cover(F.col("lo"), F.col("hi"), F.lit("3"), F.lit("5")).alias("r")).select("run", "r.lo", "r.hi"))
+query("manifest_bytes", f"with {RANGES} select run, 28 + octet_length(encode(lo)) + octet_length(encode(hi)) as bytes, sum(32 + octet_length(encode(lo)) + octet_length(encode(hi))) over () + 8 as whole from g".replace(", sum(", ", cast(sum(").replace(") over () + 8", ") over () as bigint) + 8"))(
+    lambda s, d: (r := order_ranges(s, d).select("run", codecs.manifest_entry_bytes(F.col("lo"), F.col("hi")).alias("bytes"), F.lit(1).alias("one"))).join(r.groupBy("one").agg((F.sum(F.col("bytes") + 4) + 8).alias("whole")), "one").drop("one")
+)
 query(
     "level_rewrite_anti_union",
     f"with {EV}, {RUNS}, {LEVELS}, w as (select key, op, value, seq from (select *, row_number() over (partition by key order by level, run desc) rn from v where level < 2) where rn = 1) select run, level, key, op, value, seq from v where level = 2 union all select 1000, 1, key, op, value, seq from w",
@@ -193,10 +255,88 @@ query(
     "prefix_shared_len",
     "select n_name as name, r_name as other, cast((select count(*) from generate_series(1, least(length(n_name), length(r_name))) g(i) where substr(n_name, 1, i) = substr(r_name, 1, i)) as int) as shared from nation join region on n_regionkey = r_regionkey",
 )(
-    lambda s, d: M.table(s, d, "nation").join(F.broadcast(M.table(s, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    lambda s, d: M.table(s, d, "nation").join(M.table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     .select(F.col("n_name").alias("name"), F.col("r_name").alias("other"), codecs.shared_prefix(F.col("n_name"), F.col("r_name")).alias("shared"))
 )
 query("wal_record_len", "select event_id, cast(event_id * 97 + 7 * greatest(1, ceil(event_id * 97 / 32761.0)) as bigint) as bytes from events")(
     lambda s, d: M.table(s, d, "events").select("event_id", codecs.record_bytes(F.col("event_id") * 97).alias("bytes"))
 )
-query("crc32c", None)(lambda s, d: M.table(s, d, "events").select("event_id", codecs.crc32c(F.col("event_type")).alias("crc")))
+_CRC_TABLE = f"[list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: case when a & 1 = 1 then xor(a >> 1, {codecs.POLYNOMIAL}) else a >> 1 end) for n in range(256)]"
+query(
+    "crc32c",
+    f"with t as (select {_CRC_TABLE} as tab), e as (select distinct event_type as x from events), c as (select x, xor(list_reduce(list_prepend(4294967295, [cast(ord(ch) as bigint) for ch in string_split(x, '')]), "
+    "lambda a, b: xor(tab[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) as crc from e, t) select event_id, crc from events join c on event_type = x",
+)(lambda s, d: M.table(s, d, "events").select("event_id", codecs.crc32c(F.col("event_type")).alias("crc")))
+query(
+    "little_endian",
+    "select event_id, (select string_agg(substr(h, 15 - 2 * i, 2), '' order by i) from (select printf('%016X', event_id * 99991) as h), generate_series(0, 7) g(i)) as stored, cast(event_id * 99991 as decimal(20, 0)) as back from events",
+)(lambda s, d: M.table(s, d, "events").select("event_id", codecs.little_endian(F.col("event_id") * 99991).alias("stored")).withColumn("back", codecs.from_little_endian(F.col("stored"))))
+query("value_bytes", f"with {EV}, {LAST} select key, case when op = 'DEL' then 1 else 1 + octet_length(encode(key)) end as bytes from l")(
+    lambda s, d: state.latest(events(s, d)).select("key", codecs.value_bytes(F.col("op"), F.col("key")).alias("bytes"))
+)
+query("value_errors", "select event_id, case event_id % 4 when 2 then 'unknown tag' when 3 then 'empty' end as error from events")(
+    lambda s, d: M.table(s, d, "events").select("event_id", codecs.stored_error(F.element_at(F.array(F.lit("00"), F.lit("0141"), F.lit("0241"), F.lit("")), (F.col("event_id") % 4 + 1).cast("int"))).alias("error"))
+)
+query("record_types", "select event_id, case event_id % 6 when 1 then 'full' when 2 then 'first' when 3 then 'middle' when 4 then 'last' else 'illegal' end as type from events")(
+    lambda s, d: M.table(s, d, "events").select("event_id", codecs.record_type(F.col("event_id") % 6).alias("type"))
+)
+query(
+    "record_fragments",
+    "with p as (select event_id, event_id * 97 as n, greatest(1, cast(ceil(event_id * 97 / 32761.0) as int)) as k from events) select event_id, cast(i as int) as part, "
+    "case when k = 1 then 'full' when i = 1 then 'first' when i = k then 'last' else 'middle' end as type, least(32761, n - (i - 1) * 32761) as bytes from p, generate_series(1, k) g(i)",
+)(lambda s, d: M.table(s, d, "events").select("event_id", F.explode(codecs.fragments(F.col("event_id") * 97)).alias("f")).select("event_id", "f.*"))
+
+
+def log_tails(spark, d):
+    """Logs of 500 events each, cut off by seven bytes and read back: the last payload is lost, the others are whole."""
+    e = M.table(spark, d, "events").select(F.floor(F.col("event_id") / 500).cast("long").alias("log"), F.col("event_id").alias("ordinal"), F.repeat("props", (F.col("event_id") % 50 + 1).cast("int")).alias("payload"))
+    cut = records.encoded(e).withColumn("bytes", F.expr("substring(bytes, 1, octet_length(bytes) - 7)"))
+    back = records.decoded(cut)
+    return back.groupBy("log").agg(F.count("*").alias("n"), F.sum(F.octet_length("payload")).alias("bytes"), F.max("ordinal").alias("last"))
+
+
+query(
+    "log_truncated_tail",
+    "with p as (select cast(floor(event_id / 500) as bigint) as log, event_id, octet_length(encode(props)) * (event_id % 50 + 1) as n, max(event_id) over (partition by floor(event_id / 500)) as top from events) "
+    "select log, count(*) as n, cast(sum(n) as bigint) as bytes, count(*) - 1 as last from p where event_id < top group by log",
+)(log_tails)
+
+
+def wire(spark, d):
+    """Frames of every kind, whole, cut and wrong."""
+    t, n = F.col("props"), F.col("event_id").cast("string")
+    bulk = codecs.resp_bulk(t)
+    kinds = [
+        codecs.resp_simple(t), codecs.resp_error(n), codecs.resp_integer(F.col("event_id")), bulk, codecs.resp_bulk(F.lit(None).cast("string")),
+        codecs.resp_array(F.array(bulk, codecs.resp_integer(F.col("event_id")), codecs.resp_array(F.array(codecs.resp_simple(n), codecs.resp_bulk(F.lit("a\r\nb")))))),
+        F.substring(bulk, F.lit(1), F.length(bulk) - 3), F.concat(F.lit("?"), n, F.lit("\r\n")), F.concat(codecs.resp_integer(F.col("event_id")), F.lit("+next")),
+    ]
+    return M.table(spark, d, "events").select("event_id", F.element_at(F.array(*kinds), (F.col("event_id") % 9 + 1).cast("int")).alias("frame"))
+
+
+_N = "octet_length(encode(props))"
+query(
+    "resp_decode",
+    f"with p as (select event_id, event_id % 9 as k, props, cast(event_id as varchar) as n, {_N} as b from events) select event_id, case k when 0 then 'simple=' || props when 1 then 'error=' || n when 2 then 'integer=' || n when 3 then 'bulk=' || props when 4 then 'null=' "
+    f"when 5 then 'array=3|bulk=' || props || '|integer=' || n || '|array=2|simple=' || n || '|bulk=a' || {CRLF} || 'b' when 8 then 'integer=' || n else '' end as nodes, "
+    "cast(case k when 0 then b + 3 when 1 then length(n) + 3 when 2 then length(n) + 3 when 3 then 5 + length(cast(b as varchar)) + b when 4 then 5 when 5 then 4 + 5 + length(cast(b as varchar)) + b + length(n) + 3 + 4 + length(n) + 3 + 10 when 8 then length(n) + 3 else 0 end as int) as used, "
+    "case k when 6 then 'incomplete' when 7 then 'invalid' else 'complete' end as status from p",
+)(lambda s, d: wire(s, d).select("event_id", frames.decode(F.col("frame")).alias("d")).select("event_id", frames.shown(F.col("d.nodes")).alias("nodes"), F.col("d.used").alias("used"), F.col("d.status").alias("status")))
+query(
+    "resp_encode_kinds",
+    f"with p as (select event_id, event_id % 9 as k, props, cast(event_id as varchar) as n, {_N} as b from events) select event_id, case k when 1 then '-' || n || {CRLF} when 2 then ':' || n || {CRLF} else '$-1' || {CRLF} end as frame from p where k in (1, 2, 4)",
+)(lambda s, d: wire(s, d).where("event_id % 9 in (1, 2, 4)"))
+query("reply_parse", REPLAY + "select seq, case verb when 'GET' then value when 'PING' then 'hello' else 'OK' end as value, cast(null as varchar) as error from y")(
+    lambda s, d: commands.replay(commands.parse(lines(s, d))).select("seq", frames.reply(F.col("verb"), F.col("reply")).alias("r")).select("seq", "r.value", "r.error")
+)
+query("reply_errors", "select event_id, case event_id % 9 when 1 then cast(event_id as varchar) when 2 then 'unexpected reply' when 5 then 'unexpected reply' when 6 then 'incomplete' when 7 then 'invalid' when 8 then 'unexpected reply' end as error from events")(
+    lambda s, d: wire(s, d).select("event_id", frames.reply(F.lit("GET"), F.col("frame"))["error"].alias("error"))
+)
+query("cli_shown", REPLAY + "select seq, case verb when 'GET' then coalesce(value, '(nil)') when 'PING' then 'hello' else '1' end as shown from y")(
+    lambda s, d: commands.printed(commands.replay(commands.parse(lines(s, d)))).select("seq", "shown")
+)
+query(
+    "command_encode",
+    f"select seq, case k when 0 then '*3' || {CRLF} || '+SET' || {CRLF} || '$' || octet_length(encode(u)) || {CRLF} || u || {CRLF} || '$' || octet_length(encode(t || ' \"x\"')) || {CRLF} || t || ' \"x\"' || {CRLF} "
+    f"when 2 then '*2' || {CRLF} || '+DEL' || {CRLF} || '$' || octet_length(encode(u)) || {CRLF} || u || {CRLF} when 3 then '*2' || {CRLF} || '+PING' || {CRLF} || '$5' || {CRLF} || 'hello' || {CRLF} end as frame from ({{PARSED}}) where k in (0, 2, 3)".replace("{PARSED}", PARSED),
+)(lambda s, d: commands.encode(commands.parse(lines(s, d)).where("error is null and verb <> 'GET'")).select("seq", "frame"))
