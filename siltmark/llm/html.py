@@ -28,6 +28,8 @@ from pyspark.sql import types as T
 from . import common as C
 
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*+)>""")
+#: Used after a tag that never ends: no tag then reaches over another's beginning.
+SHORT = re.compile(r"""<(/?)([a-zA-Z][^\s/><]*)([^<>]*)>""")
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 OUT = frozenset("nav header footer aside form script style textarea title iframe noembed noframes xmp noscript template head select button dialog object svg canvas menu".split())
@@ -75,6 +77,19 @@ def _blocks(page: str, spare: bool) -> tuple[list[str], bool]:
     depth, lower, at, n = 0, None, 0, len(page)
     container = ""
     skip, level, back, spared = "", 0, 0, set()
+    tag, ends, gone, last = TAG, {}, set(), page.rfind(">")
+
+    def close_of(name: str, at: int) -> int:
+        """Where the next closing tag of that name begins, -1 if none does; every stretch of the page is searched once a name."""
+        nonlocal lower
+        lower = lower or page.lower()
+        if name in gone:
+            return -1
+        if ends.get(name, -1) < at:
+            ends[name] = lower.find(f"</{name}", at)
+            if ends[name] < 0:
+                gone.add(name)
+        return ends[name]
 
     def flush() -> None:
         if parts:
@@ -99,7 +114,11 @@ def _blocks(page: str, spare: bool) -> tuple[list[str], bool]:
             end = page.find(">", lt)
             at = n if end < 0 else end + 1
             continue
-        m = TAG.match(page, lt)
+        m = tag.match(page, lt) if lt < last else None
+        if not m and lt < last and tag is TAG and page[lt + 1 : lt + 2] not in ("", " "):
+            if page[lt + 1].isalpha() or page[lt + 1] == "/" and page[lt + 2 : lt + 3].isalpha():
+                tag = SHORT
+                m = tag.match(page, lt)
         if not m:
             if not skip:
                 parts.append("<")
@@ -116,8 +135,7 @@ def _blocks(page: str, spare: bool) -> tuple[list[str], bool]:
                 if not level:
                     skip = ""
             elif name in RAW and not closing:
-                lower = lower or page.lower()
-                end = lower.find(f"</{name}", at)
+                end = close_of(name, at)
                 at = n if end < 0 else end
             continue
         if name not in INLINE:
@@ -125,8 +143,7 @@ def _blocks(page: str, spare: bool) -> tuple[list[str], bool]:
         elif name == "br":
             parts.append(" ")
         if not closing and not alone and at not in spared and (name in OUT or name not in ("html", "body", "article", "main") and noisy(m[3]) or name == "article" and depth and noisy(m[3])):
-            lower = lower or page.lower()
-            end = lower.find(f"</{name}", at)
+            end = close_of(name, at)
             if name in RAW:
                 at = n if end < 0 else end
             if end >= 0:  # an element that is never closed hides nothing
@@ -248,6 +265,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """page id, url, text and n_chars of every page."""
     seen = C.map_texts(pages, [C.col(id_col).alias("page_id"), C.col(url_col).alias("url")], C.col(html_col), LINES, _cut)
     C.ensure_checkpoints(pages.sparkSession)
+    seen = seen.checkpoint()  # pages are parsed once, whatever of them is compared
     whole = seen.where("__whole or size(__lines) = 0").select("page_id", "url", F.array_join("__lines", "\n").alias("text"))
     url = F.coalesce("url", F.lit(""))
     rest = seen.where("not __whole and size(__lines) > 0").select(
