@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from collections.abc import Callable, Sequence
 
@@ -76,10 +77,12 @@ def rows_of(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Uses the shared folder that the session names; only a session without one, as in tests, gets its own."""
+    """Uses the shared folder that the session names; only a local session without one, as in tests, gets its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.match(r"local(\[[^-]|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "checkpoints"))
 
 

@@ -2,11 +2,13 @@
 
 Each shard (a batch of documents) becomes one sequence of word numbers with a gap between documents. Its suffix array holds,
 in word order, the suffixes that open with as many benchmark words as a window has; no other suffix can match.
-Every suffix of every benchmark item is found in it by binary search; matches that continue one another are joined into
-the longest verbatim ones, with their places in document and item.
+Every suffix of every benchmark item is found in it by binary search and marks all its places; from the first place of a window in each document,
+matches that continue one another are joined into the longest verbatim ones, with their places in document and item. So a window that
+many items and many places share costs their sum, not their product.
 
 The benchmark is the stated query set: its windows are broadcast in blocks of at most BLOCK_BYTES of text each,
-and every shard is searched for one block after another, so that memory is bounded by a block and a batch.
+and every shard is searched for one block after another; a worker lets go of a block before it reads the next, so that memory is bounded
+by a block and a batch.
 
 Defined cases: a null, empty or wordless text, of document or item, has no words and no hit; an item of fewer words than
 a window is one window; items that repeat count once for each id; an item without an id marks words but is not
@@ -55,7 +57,7 @@ class Block:
 
 
 def matches(block: Block, ids: np.ndarray):
-    """(length, starts in ids, items, places in items) of all windows that occur; ids: word numbers, 0 for all others."""
+    """(length, starts in ids, items, places in items) of each window that occurs, of an item that has it twice its first place; ids: word numbers, 0 for all others."""
     n = len(ids)
     # how many benchmark words stand in a row from each place on
     stops = np.flatnonzero(ids == 0)
@@ -73,8 +75,8 @@ def matches(block: Block, ids: np.ndarray):
         low, high = np.searchsorted(array, keys, "left"), np.searchsorted(array, keys, "right")
         for k in np.flatnonzero(high > low):
             own = places[upto[k] : upto[k + 1]]
-            p = starts[order[low[k] : high[k]]]
-            yield size, np.repeat(p, len(own)), np.tile(own[:, 0], len(p)), np.tile(own[:, 1], len(p))
+            own = own[np.unique(own[:, 0], return_index=True)[1]]
+            yield size, starts[order[low[k] : high[k]]], own[:, 0], own[:, 1]
 
 
 def search(blocks, texts: list[bytes]):
@@ -90,12 +92,15 @@ def search(blocks, texts: list[bytes]):
         for k, t in enumerate(tokens):
             if t:
                 ids[first[k] : first[k] + len(t)] = [get(w, 0) for w in t]
-        found = list(matches(block, ids))
-        if not found:
-            continue
-        for size, p, _, _ in found:
+        found = []
+        for size, p, item, at in matches(block, ids):
             np.add.at(change, p, 1)
             np.add.at(change, p + size, -1)
+            # of each text only the first place goes on to the window's items, not every place with every item
+            p = p[np.unique(np.searchsorted(first, p, "right"), return_index=True)[1]]
+            found.append((size, np.repeat(p, len(item)), np.tile(item, len(p)), np.tile(at, len(p))))
+        if not found:
+            continue
         size = np.concatenate([np.full(len(x[1]), x[0]) for x in found])
         p, item, at = (np.concatenate([x[i] for x in found]) for i in (1, 2, 3))
         # windows of one item that follow each other on one diagonal are one longer match
@@ -134,6 +139,14 @@ def blocks_of(spark: SparkSession, benchmark: DataFrame, id_col: str, text_col:
     return [*out, spark.sparkContext.broadcast(Block(items, size))] if items else out
 
 
+def each_of(shared: list):
+    """The broadcasts' values one after another; of several, a worker holds one at a time."""
+    for b in shared:
+        yield b.value
+        if len(shared) > 1 and hasattr(b, "_value"):
+            del b._value
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, carry, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = WINDOW) -> DataFrame:
     shared = blocks_of(docs.sparkSession, benchmark, item_col, item_text, size)
 
@@ -144,7 +157,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, carry, text_col: str = "text", i
             for at, t in enumerate(texts):  # shards of about 8 MB
                 held += len(t)
                 if held >= 8 << 20 or at == len(texts) - 1:
-                    lengths, marked, items = search((b.value for b in shared), texts[begin : at + 1])
+                    lengths, marked, items = search(each_of(shared), texts[begin : at + 1])
                     for n, m, found in zip(lengths, marked, items):
                         ids = sorted(i for i in found if i is not None)
                         out[0].append(n)
@@ -171,7 +184,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find(C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "benchmark"))
+    return find(C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "benchmark")).drop("longest")
 
 
 QUERIES = {"op9_benchmark_decontamination": op9_benchmark_decontamination}
