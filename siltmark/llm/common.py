@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
@@ -40,12 +41,34 @@ def slices(batch: pa.RecordBatch):
         yield batch.slice(at, rows)
 
 
+#: Settings of a session that bound what goes to Python at once, and their bounds here.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2048, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers, and never raises, the session's bounds on a batch: with the usual 10,000 rows one of long texts takes over 100 MB on either side."""
+    for name, most in BATCH.items():
+        now = spark.conf.get(name, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
+
+
+def let_go() -> None:
+    """Gives freed memory back to the system, for workers that live on after a task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the C library that has it
+        pass
+
+
 def map_texts(df: DataFrame, carry: Sequence[Column], text: Column, fields: Sequence[T.StructField], factory: Callable[[], Callable]) -> DataFrame:
     """Adds fields made from whole texts, batch by batch and without a shuffle.
 
     carry: aliased columns that pass through untouched. factory() runs once a task and returns a function from
     a list of UTF-8 byte strings (a null text is empty) to one list of values for each field.
     """
+    bound_batches(df.sparkSession)
     chosen = df.select(*carry, F.coalesce(text.cast("string"), F.lit("")).cast("binary").alias("__text"))
     kept = chosen.schema.fields[:-1]
     types = [_arrow(f.dataType) for f in fields]
@@ -57,6 +80,7 @@ def map_texts(df: DataFrame, carry: Sequence[Column], text: Column, fields: Sequ
             for b in slices(whole):
                 made = work(b.column(b.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), *(pa.array(v, t) for v, t in zip(made, types, strict=True))], names=names)
+        let_go()
 
     return chosen.mapInArrow(run, T.StructType([*kept, *fields]))
 

@@ -164,6 +164,7 @@ def sets_for(texts: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
                 made = [(node_of(s), s) for s in sets_of(part.column(0).to_pylist(), size)]
                 kept = [(n, s.tobytes()) for n, s in made if bits[(n % MAP_BITS) >> 3] >> (n & 7) & 1]
                 yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in kept], pa.int64()), pa.array([s for _, s in kept], pa.binary())], names=["node", "value"])
+        C.let_go()
 
     return texts.select(F.coalesce("text", F.lit("")).cast("binary")).mapInArrow(run, "node long, value binary")
 

@@ -38,7 +38,7 @@ from . import common as C
 
 MODEL = os.environ.get("SILTMARK_TOKENIZERS", "/opt/tokenizers") + "/piece_bpe_32k.model"
 #: Bytes of text in a chunk and in its parts, and parts that Python works on at once; characters of a unit that is folded.
-CHUNK, PART, AT_ONCE, LONGEST = 32 << 20, 1 << 20, 6, 1024
+CHUNK, PART, AT_ONCE, LONGEST = 32 << 20, 1 << 20, 3, 1024
 BLANK = "▁"
 
 
@@ -209,8 +209,9 @@ def chunk_units(docs: DataFrame, text_col: str, vocabulary: Vocabulary) -> DataF
                 seen = [pc.unique(pa.concat_arrays(seen))]
         if seen:
             yield from done()
-        pa.default_memory_pool().release_unused()
+        C.let_go()
 
+    C.bound_batches(docs.sparkSession)
     return docs.select(_utf8(text_col), _partition()).mapInArrow(run, "chunk long, unit string")
 
 
@@ -338,15 +339,27 @@ def chunk_dictionaries(pairs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     met = dealt.join(folded, F.col("unit") == F.col("__unit"), "left").select("chunk", "unit", F.coalesce("ids", spelled(F.col("unit"), vocabulary)).alias("ids"))
     small = max(vocabulary.out, default=0) < 1 << 16
 
+    def packed(held: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(held).combine_chunks()
+        b = table.take(pc.sort_indices(table, [("chunk", "ascending"), ("unit", "ascending")])).combine_chunks().to_batches()[0]
+        chunk = b.column(0).to_numpy()
+        sorted_ = pa.RecordBatch.from_arrays([b.column(1), b.column(2).cast(pa.list_(pa.uint16() if small else pa.int32()))], names=["unit", "ids"])
+        edges = np.flatnonzero(np.diff(chunk)) + 1
+        spans = list(zip([0, *edges.tolist()], [*edges.tolist(), len(chunk)]))
+        return pa.RecordBatch.from_arrays([pa.array([int(chunk[a]) for a, _ in spans], pa.int64()), pa.array([pack(sorted_.slice(a, z - a)) for a, z in spans], pa.binary())], names=["chunk", "packed"])
+
     def run(batches):
+        held, rows = [], 0
         for b in batches:
-            ids = b.column(2).cast(pa.list_(pa.uint16() if small else pa.int32()))
-            by = pc.sort_indices(pa.table([b.column(0), b.column(1)], names=["chunk", "unit"]), [("chunk", "ascending"), ("unit", "ascending")])
-            sorted_ = pa.RecordBatch.from_arrays([b.column(1).take(by), ids.take(by)], names=["unit", "ids"])
-            chunk = b.column(0).take(by).to_numpy()
-            edges = np.flatnonzero(np.diff(chunk)) + 1
-            spans = [(a, z) for a, z in zip([0, *edges.tolist()], [*edges.tolist(), len(chunk)]) if z > a]
-            yield pa.RecordBatch.from_arrays([pa.array([int(chunk[a]) for a, _ in spans], pa.int64()), pa.array([pack(sorted_.slice(a, z - a)) for a, z in spans], pa.binary())], names=["chunk", "packed"])
+            if b.num_rows:
+                held.append(b)
+                rows += b.num_rows
+            if rows >= 1 << 15:
+                yield packed(held)
+                held, rows = [], 0
+        if held:
+            yield packed(held)
+        C.let_go()
 
     return met.mapInArrow(run, "chunk long, packed binary")
 
@@ -371,6 +384,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, carry, text_col: str = "text
     def packed(batches):
         for chunk, b in chunked(batches):
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([1], pa.int32()), pa.array([pack(b)], pa.binary())], names=["chunk", "kind", "packed"])
+        C.let_go()
 
     texts = chosen.mapInArrow(packed, "chunk long, kind int, packed binary")
     known = chunk_dictionaries(chunk_units(docs, text_col, vocabulary), vocabulary).select("chunk", F.lit(0).alias("kind"), "packed")
@@ -405,7 +419,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, carry, text_col: str = "text
                 if chunk != now:
                     yield from done()
                     now, known, parts = chunk, [], []
-                    pa.default_memory_pool().release_unused()
+                    C.let_go()
                 if kind == 0:
                     known.append(unpack(data))
                 else:
@@ -415,6 +429,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, carry, text_col: str = "text
                         yield from done()
                         parts.clear()
         yield from done()
+        known, parts = [], []
+        C.let_go()
 
     return both.select("chunk", "kind", "packed").mapInArrow(run, T.StructType(fields))
 
