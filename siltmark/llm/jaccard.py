@@ -8,8 +8,9 @@ puts the frequent shingles of a sample last; the sample bears on the speed only.
 Documents with the same set are one node. Of all that share a shingle each is first compared with the least node only; then,
 within the components found so, only pairs of different components are, those within the shingle's largest component left out. So a large
 group of near copies isn't paired with itself. Each candidate is verified on the whole sets; sets are sent for the nodes of candidates only,
-which the tasks know by a bitmap of a fixed size (a node that is there by chance is dropped afterwards). The pairs of different components
-that share a rare shingle can be quadratic if many unlike documents share it.
+which the tasks know by a bitmap of a fixed size (a node that is there by chance is dropped afterwards). Pairs of different components
+that share a rare shingle are compared by sketches within the join, which never rules out a similar pair: only likely pairs become rows, though the
+comparisons can be quadratic if many unlike documents share the shingle.
 
 Defined cases: null, empty and wordless texts have the empty set and are copies of one another. Shingles and sets are told apart by 64-bit hashes.
 """
@@ -114,7 +115,15 @@ def sketch(found: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-SEEN = [C.field("node", C.LONG), C.field("n", C.INT), C.field("fp", C.LONG), C.field("sketch", T.BinaryType())]
+#: Longs of a small sketch, the halves of a sketch folded onto one another.
+SMALL = 8
+
+
+def small(whole: bytes) -> list[int]:
+    return np.bitwise_xor.reduce(np.frombuffer(whole, "<i8").reshape(-1, SMALL)).tolist()
+
+
+SEEN = [C.field("node", C.LONG), C.field("n", C.INT), C.field("fp", C.LONG), C.field("sketch", T.BinaryType()), C.field("small", T.ArrayType(C.LONG))]
 
 
 def seen_of(docs: DataFrame, carry, text_col: str, size: int = WORDS) -> DataFrame:
@@ -123,7 +132,8 @@ def seen_of(docs: DataFrame, carry, text_col: str, size: int = WORDS) -> DataFra
     def factory():
         def work(texts):
             made = sets_of(texts, size)
-            return [[node_of(s) for s in made], [len(s) for s in made], [fingerprint(s) for s in made], [sketch(s) for s in made]]
+            sketches = [sketch(s) for s in made]
+            return [[node_of(s) for s in made], [len(s) for s in made], [fingerprint(s) for s in made], sketches, [small(x) for x in sketches]]
 
         return work
 
@@ -280,8 +290,12 @@ def links(seen: DataFrame, texts: DataFrame, near: DataFrame, components, size:
     mixed = known.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("token")
     here = known.join(mixed, "token", "left_semi").checkpoint()
     sizes = here.groupBy("token", "part").agg(F.count("*").alias("size")).groupBy("token").agg(F.max_by("part", F.struct("size", "part")).alias("main"))
-    here = here.join(sizes, "token")
+    sketches = seen.join(here.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("small").alias("small"))
+    here = here.join(sizes, "token").join(sketches, "node")
     x, y = here.where("part <> main").alias("x"), here.alias("y")
     apart = (F.col("x.part") != F.col("y.part")) & ((F.col("y.part") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-    cross = x.join(y, F.col("x.token") == F.col("y.token")).where(apart & possible(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at")))
+    # compared by small sketches where they meet, so that only likely pairs become rows
+    differ = sum((F.bit_count(F.col("x.small")[i].bitwiseXOR(F.col("y.small")[i])) for i in range(SMALL)), F.lit(0))
+    close = differ * sum(SIMILAR) <= (F.col("x.n") + F.col("y.n")) * (SIMILAR[1] - SIMILAR[0])
+    cross = x.join(y, F.col("x.token") == F.col("y.token")).where(apart & possible(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at")) & close)
     return found.union(verified(cross.select(*pairs_of("x", "y")), seen, texts, size)).distinct()
