@@ -24,16 +24,19 @@ def test_store_life(spark, tmp_path):
 
 def test_tombstone_goes_only_at_the_deepest_level(spark, tmp_path):
     s = Store(spark, str(tmp_path / "s"))
-    s.set("k", "old")
-    s.flush()
-    s.compact(0)
-    s.compact(1)
-    s.delete("k")
-    s.flush()
-    s.compact(0)
-    assert s.get("k") is None and s.log().count() == 2
-    s.compact(1)
-    assert s.get("k") is None and s.log().count() == 0
+    for key in "akz":  # a compaction takes two runs at least, so that each key is written twice
+        for value in ("older", "old"):
+            s.set(key, value)
+            s.flush()
+        assert s.compact(0)
+    assert s.compact(1) and {r["level"] for r in s._manifest["runs"]} == {2} and s.get("k") == "old"
+    for _ in range(2):
+        s.delete("k")
+        s.flush()
+    assert s.compact(0)
+    assert s.get("k") is None and s.log().count() == 4
+    assert s.compact(1)
+    assert s.get("k") is None and s.log().count() == 2 and s.get("a") == "old"
 
 
 @pytest.mark.parametrize(
