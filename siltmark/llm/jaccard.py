@@ -5,12 +5,13 @@ Jaccard similarity of at least SIMILAR. No pair is missed: with the
 shingles of all documents in one fixed order, two such sets share one of the first n - ceil(0.8 n) + 1 shingles of each. The order
 puts the frequent shingles of a sample last; the sample bears on the speed only.
 
-Documents with the same set are one node. Of all that share a shingle each is first compared with the least node only; then,
-within the components found so, only pairs of different components are, those within the shingle's largest component left out. So a large
-group of near copies isn't paired with itself. Each candidate is verified on the whole sets; sets are sent for the nodes of candidates only,
+Documents with the same set are one node. Of all that share a shingle each is first compared with the least node and with the CHAIN next
+ones in an order by a hash of shingle and node only; then, within the components found so, only pairs of different components are, those
+within the shingle's largest component left out. So a large group of near copies isn't paired with itself: where too few are similar to the
+least node, the chains, others at each shingle, hold the group together. Each candidate is verified on the whole sets; sets are sent for the nodes of candidates only,
 which the tasks know by a bitmap of a fixed size (a node that is there by chance is dropped afterwards). Pairs of different components
 that share a rare shingle are compared by sketches within the join, which never rules out a similar pair: only likely pairs become rows, though the
-comparisons can be quadratic if many unlike documents share the shingle.
+comparisons can be quadratic if many unlike documents share the shingle, and the rows if many that are just less than similar do.
 
 Defined cases: null, empty and wordless texts have the empty set and are copies of one another. Shingles and sets are told apart by 64-bit hashes.
 """
@@ -33,6 +34,8 @@ WORDS, SEED = 5, 42
 SIMILAR = (4, 5)
 #: Of so many documents the order of shingles is taken from one; how many shingles it puts last.
 SHARE, FREQUENT = 16, 100_000
+#: Of a shingle's nodes in the order by hash, how many next ones each is compared with at first.
+CHAIN = 2
 #: Nodes in a group when pairs are tested; bits of the map of candidates.
 GROUP, MAP_BITS = 4096, 1 << 26
 #: Places of a sketch.
@@ -205,7 +208,8 @@ def frequent(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shared(texts: DataFrame, size: int) -> DataFrame:
-    """token, node, n, at and first: the places of nodes among the first shingles that others have there too, and the least such node."""
+    """token, node, n, at and met: the places of nodes among the first shingles that others have there too, and those others (node, n) to compare
+    at first: the least one and the next ones by hash, if they are possible."""
     order = texts.sparkSession.sparkContext.broadcast(frequent(texts, size))
 
     def factory():
@@ -221,8 +225,11 @@ def shared(texts: DataFrame, size: int) -> DataFrame:
     places = kept.select("node", "n", F.posexplode("p").alias("at", "token"))
     w = Window.partitionBy("token").orderBy("node")
     once = places.withColumn("before", F.lag("node").over(w)).where("before is null or before <> node").drop("before")
-    near = once.select("*", F.first(F.struct("node", "n", "at")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("first"), F.lead("node").over(w).alias("next"))
-    return near.where("first.node <> node or next is not null").drop("next")
+    own, v = F.struct("node", "n", "at"), Window.partitionBy("token").orderBy(F.xxhash64("token", "node"), "node")
+    near = once.select("*", F.first(own).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("first"), F.lead("node").over(w).alias("next"))
+    chained = near.where("first.node <> node or next is not null").select("token", "node", "n", "at", F.array("first", *(F.lead(own, k).over(v) for k in range(1, CHAIN + 1))).alias("met"))
+    likely = F.filter("met", lambda y: y.isNotNull() & (y["node"] != F.col("node")) & possible(F.col("n"), F.col("at"), y["n"], y["at"]))
+    return chained.withColumn("met", F.transform(likely, lambda y: F.struct(y["node"].alias("node"), y["n"].alias("n"))))
 
 
 def possible(xn, xat, yn, yat):
@@ -282,9 +289,8 @@ def links(seen: DataFrame, texts: DataFrame, near: DataFrame, components, size:
     """Edges a < b that connect whatever is similar. seen: node and sketch of each of texts (text); near: pairs (a, b, an, bn) of nodes that are likely similar;
     components: a function from edges to (node, root)."""
     places = shared(texts, size).checkpoint()
-    f = F.col("first")
-    stars = places.where(F.col("node") > f["node"]).where(possible(F.col("n"), F.col("at"), f["n"], f["at"])).select(f["node"].alias("a"), F.col("node").alias("b"), f["n"].alias("an"), F.col("n").alias("bn"))
-    found = verified(stars.union(near), seen, texts, size)
+    met = places.select(F.struct("node", "n").alias("x"), F.explode("met").alias("y")).select(*pairs_of("x", "y"))
+    found = verified(met.union(near), seen, texts, size)
     roots = components(found).withColumnRenamed("node", "__node")
     known = places.join(roots, F.col("node") == F.col("__node"), "left").select("token", "node", "n", "at", F.coalesce("root", "node").alias("part"))
     mixed = known.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("token")

@@ -1,6 +1,6 @@
 import random
 
-from siltmark.llm import simhash
+from siltmark.llm import jaccard, simhash
 
 
 def test_near_copies_brute_force(spark):
@@ -55,3 +55,27 @@ def test_rows_that_repeat_an_id(spark):
     got = sorted(map(str, simhash.deduplicate(docs).collect()))
     assert len(got) == 6 and sum("doc_id=1," in r for r in got) == 2 and sum("doc_id=None" in r for r in got) == 2
     assert simhash.deduplicate(docs.limit(0)).count() == 0
+
+
+def test_group_at_the_limit_of_similarity_makes_few_rows(spark, monkeypatch):
+    rng = random.Random(5)
+    base, rows = [f"w{k}" for k in range(180)], []
+    for i in range(300):  # two of 180 words differ: a pair is similar only if its changes are near one another
+        w = list(base)
+        for at in rng.sample(range(180), 2):
+            w[at] = f"new{i}.{at}"
+        rows.append((i, " ".join(w)))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(176)} for _, t in rows]
+    left, groups = set(range(300)), []
+    while left:
+        group = now = {left.pop()}
+        while now:
+            now = {b for b in left if any(5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) for a in now)}
+            left -= now
+            group = group | now
+        groups.append(min(group))
+    counts, verified = [], jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, *a: counts.append(pairs.count()) or verified(pairs, *a))
+    got = [r["doc_id"] for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    places = 300 * (176 - 141 + 1)
+    assert sorted(got) == sorted(groups) and len(counts) == 2 and max(counts) <= 5 * places
