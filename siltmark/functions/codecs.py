@@ -54,18 +54,19 @@ def record_bytes(payload: Column) -> Column:
     return payload + HEADER * F.greatest(F.lit(1), F.ceil(payload / F.lit(BLOCK - HEADER))).cast("long")
 
 
-def fragments(length: Column) -> Column:
-    """How a payload of so many bytes lies in a log from a block's start: structs (part, type, bytes)."""
+def fragment_count(length: Column) -> Column:
+    """Fragments of a payload of so many bytes in a log from a block's start."""
+    return F.greatest(F.lit(1), F.ceil(length / F.lit(BLOCK - HEADER))).cast("int")
+
+
+def fragment(length: Column, n: Column, part: Column) -> list[Column]:
+    """part, type and bytes of one of a payload's n fragments, counted from 1."""
     room = BLOCK - HEADER
-    n = F.greatest(F.lit(1), F.ceil(length / F.lit(room))).cast("int")
-    return F.transform(
-        F.sequence(F.lit(1), n),
-        lambda i: F.struct(
-            i.alias("part"),
-            F.when(n == 1, "full").when(i == 1, "first").when(i == n, "last").otherwise("middle").alias("type"),
-            F.least(F.lit(room).cast("long"), length - (i - 1) * room).cast("long").alias("bytes"),
-        ),
-    )
+    return [
+        part.alias("part"),
+        F.when(n == 1, "full").when(part == 1, "first").when(part == n, "last").otherwise("middle").alias("type"),
+        F.least(F.lit(room).cast("long"), length - (part - 1) * room).cast("long").alias("bytes"),
+    ]
 
 
 #: Numbers of the record types in a header.

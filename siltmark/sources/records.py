@@ -9,8 +9,9 @@ import struct
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..functions.codecs import BLOCK, HEADER, TYPES, crc32c_bytes
+from ..functions.codecs import BLOCK, HEADER, TYPES, crc32c_bytes, fragment, fragment_count
 
 NUMBERS = {name: k for k, name in TYPES.items()}
 
@@ -66,6 +67,26 @@ def decode_log(log: bytes) -> list[bytes]:
         at = end
 
 
+#: Fragments that are listed at once.
+STEP = 4096
+
+
+def fragments(payloads: DataFrame) -> DataFrame:
+    """How payloads lie in a log from a block's start: a row with part, type and bytes for each fragment, and the other columns.
+
+    payloads have a column length. The result itself grows with the lengths, not with the rows. A payload is cut into stretches of
+    STEP fragments, and stretches are dealt out evenly before they are listed, so that one file or a few long payloads keep every core busy.
+    """
+    names = [c for c in payloads.columns if c != "length"]
+    counted = payloads.withColumn("_n", fragment_count(F.col("length")))
+    stretches = counted.withColumn("_from", F.explode(F.sequence(F.lit(1), F.col("_n"), F.lit(STEP))))
+    # a given number isn't lowered by adaptive execution, which sees only how few bytes the stretches have
+    dealt = stretches.repartition(int(payloads.sparkSession.conf.get("spark.sql.shuffle.partitions")), *names, "_from")
+    # subtraction first: no overflow behind the last stretch
+    listed = dealt.withColumn("_part", F.explode(F.sequence(F.col("_from"), F.col("_from") + F.least(F.lit(STEP - 1), F.col("_n") - F.col("_from")))))
+    return listed.select(*names, *fragment(F.col("length"), F.col("_n"), F.col("_part")))
+
+
 def decoded(logs: DataFrame) -> DataFrame:
     """log, ordinal and payload of logs (log, bytes)."""
 

@@ -148,3 +148,18 @@ def test_arguments():
 def test_whole_answers_have_rows(spark):
     for name in ("compaction_candidates", "compaction_inputs_level3", "log_truncated_tail", "reply_errors"):
         assert QUERIES[name](spark, "/root/testdata/sf0.01").limit(1).count() == 1, name
+
+
+def test_fragments_of_long_payloads_are_dealt_out(spark, tmp_path):
+    ids = [0, 1, 337, 338, 675, 676, 1_383_346, 4_999_999, 5_000_000]
+    spark.createDataFrame([(i,) for i in ids], "event_id long").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    df = QUERIES["record_fragments"](spark, str(tmp_path))
+    want = []
+    for i in ids:
+        n = max(1, -(-i * 97 // 32761))
+        want += [(i, k, "full" if n == 1 else "first" if k == 1 else "last" if k == n else "middle", min(32761, i * 97 - (k - 1) * 32761)) for k in range(1, n + 1)]
+    assert df.columns == ["event_id", "part", "type", "bytes"] and sorted(tuple(r) for r in df.collect()) == want
+    # one file, and two payloads that hold nearly all fragments
+    held = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(held) > 1 and max(held) < 0.8 * len(want)
+    assert spark.createDataFrame([(3, None, 70_000)], "k int, v string, length long").transform(records.fragments).orderBy("part").collect() == [(3, None, 1, "first", 32761), (3, None, 2, "middle", 32761), (3, None, 3, "last", 4478)]
