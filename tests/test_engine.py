@@ -163,3 +163,23 @@ def test_fragments_of_long_payloads_are_dealt_out(spark, tmp_path):
     held = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
     assert len(held) > 1 and max(held) < 0.8 * len(want)
     assert spark.createDataFrame([(3, None, 70_000)], "k int, v string, length long").transform(records.fragments).orderBy("part").collect() == [(3, None, 1, "first", 32761), (3, None, 2, "middle", 32761), (3, None, 3, "last", 4478)]
+
+
+def test_overlap_pairs_are_dealt_out(spark):
+    # ranges that all meet, over several blocks: few bytes, many pairs
+    ranges = [(k * 7919 % 4000, k, 10_000 - k % 3) for k in range(4000)]
+    df = runs.overlap_pairs(spark.createDataFrame(ranges, "run long, lo long, hi long"))
+    held = df.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.count(F.when(F.col("a_run") >= F.col("b_run"), 1)).alias("bad")).collect()
+    assert sum(r["n"] for r in held) == 4000 * 3999 // 2 and not any(r["bad"] for r in held)
+    assert len(held) > 1 and max(r["n"] for r in held) < 0.8 * 4000 * 3999 // 2
+
+
+def test_overlap_pairs_of_odd_ranges(spark):
+    rng = random.Random(5)
+    ranges = [(k, a := rng.randrange(200_000), a + rng.choice([0, 0, 50, 300])) for k in range(3000)] + [(k, 70_000, 70_000) for k in range(3000, 3040)]
+    ranges += [(4000, 0, 200_000), (4001, 100_000, 200_300), (4002, None, None), (4003, 5, None), (4004, None, 5), (None, 0, 200_000), (4005, None, None)]
+    got = [tuple(r) for r in runs.overlap_pairs(spark.createDataFrame(ranges, "run long, lo long, hi long")).collect()]
+    whole = [r for r in ranges if None not in r]
+    want = {(a, b) for a, al, ah in whole for b, bl, bh in whole if a < b and al <= bh and ah >= bl}
+    assert len(got) == len(want) and set(got) == want
+    assert runs.overlap_pairs(spark.createDataFrame([], "run long, lo long, hi long")).count() == 0
